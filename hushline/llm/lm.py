@@ -24,6 +24,8 @@ from .mixing import word_count
 from .packing import mixed, pack, unpack
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
+#: N-grams of two words and more are keyed by 56 bits: another's count is added to one in 2^56/distinct of them.
+_KEY = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 def _word_hashes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +58,8 @@ def _grams(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.nd
 
 def _tables(table: pa.Table, order: int):
     words, sizes = _word_hashes(table.column("text"))
-    return sizes, [(h, ok, *np.unique(h[ok], return_inverse=True)) for h, ok in _grams(words, sizes, order)]
+    grams = [(h & _KEY if n else h, ok) for n, (h, ok) in enumerate(_grams(words, sizes, order))]
+    return sizes, [(h, ok, *np.unique(h[ok], return_inverse=True)) for h, ok in grams]
 
 
 def _split(keys: np.ndarray, ranges: int) -> np.ndarray:
