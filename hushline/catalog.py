@@ -5,13 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "causal_windows"
+from hushline.operators.windows import BUDGET, causal_windows, token_count
+from hushline.plans.dialect import DUCK, SPARK
+from hushline.plans.queries import PLANS, turns
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+FLAGSHIP = "windows_by_budget"
+
+_WINDOWS = f"""
+WITH RECURSIVE l AS (SELECT conv_id, line_no, length(text) - length(replace(text, ' ', '')) + 1 AS tokens FROM {turns(DUCK)} t),
+w AS (SELECT conv_id, line_no, tokens AS used, 0 AS window_id FROM l WHERE line_no = 1 UNION ALL
+SELECT l.conv_id, l.line_no, CASE WHEN w.used > 0 AND w.used + l.tokens > {BUDGET} THEN l.tokens ELSE w.used + l.tokens END, w.window_id + CASE WHEN w.used > 0 AND w.used + l.tokens > {BUDGET} THEN 1 ELSE 0 END FROM w JOIN l ON l.conv_id = w.conv_id AND l.line_no = w.line_no + 1)
+SELECT conv_id, window_id, count(*) AS lines, min(line_no) AS first_line FROM w GROUP BY conv_id, window_id
+"""
+
+
+def run_plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A plan over the tables it names; only those are opened."""
+    sql = PLANS[name](SPARK)
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+    return spark.sql(sql, **used)
+
+
+def windows_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", (F.col("turn") + 1).cast("int").alias("line_no"), token_count(F.replace("text", F.lit("\n"), F.lit(" "))).alias("tokens"))
+    return causal_windows(lines).groupBy("conv_id", "window_id").agg(F.count("*").alias("lines"), F.min("line_no").alias("first_line"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {FLAGSHIP: windows_by_budget} | {name: lambda spark, sf_dir, name=name: run_plan(spark, sf_dir, name) for name in PLANS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {FLAGSHIP: _WINDOWS} | {name: build(DUCK) for name, build in PLANS.items()}

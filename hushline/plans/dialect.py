@@ -1,0 +1,108 @@
+"""The few functions that Spark SQL and DuckDB spell differently."""
+
+from __future__ import annotations
+
+
+class Spark:
+    name = "spark"
+    big = "bigint"
+
+    def table(self, name: str) -> str:
+        return "{" + name + "}"
+
+    def lit(self, pattern: str) -> str:
+        return "r'" + pattern + "'"
+
+    def brace(self, text: str) -> str:
+        return text.replace("{", "{{").replace("}", "}}")
+
+    def rx_all(self, x: str, pattern: str, to: str) -> str:
+        return f"regexp_replace({x}, {self.lit(pattern)}, '{to}')"
+
+    def rx_get(self, x: str, pattern: str, group: int) -> str:
+        return f"regexp_extract({x}, {self.lit(pattern)}, {group})"
+
+    def rx_is(self, x: str, pattern: str) -> str:
+        return f"({x} RLIKE {self.lit(pattern)})"
+
+    def lines(self, x: str) -> str:
+        return f"split({x}, '\\n')"
+
+    def pos_explode(self, array: str, at: str, value: str) -> str:
+        return f"LATERAL VIEW posexplode({array}) _v AS {at}, {value}"
+
+    def joined(self, x: str, order: str, by: str) -> str:
+        return f"array_join(transform(array_sort(collect_list(struct({order} AS o, {x} AS x))), s -> s.x), '{by}')"
+
+    def listed(self, x: str, order: str) -> str:
+        return f"transform(array_sort(collect_list(struct({order} AS o, {x} AS x))), s -> s.x)"
+
+    def p_cont(self, x: str, q: float) -> str:
+        return f"percentile({x}, {q})"
+
+    def half_even(self, x: str) -> str:
+        return f"bround({x}, 0)"
+
+    def sha(self, x: str) -> str:
+        return f"sha2({x}, 256)"
+
+    def explode_range(self, low: str, high: str, name: str) -> str:
+        return f"LATERAL VIEW explode(sequence({low}, {high})) _r AS {name}"
+
+    def dot(self, a: str, b: str) -> str:
+        return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x AS double) * y), 0D, (s, v) -> s + v)"
+
+    def json(self, x: str, key: str) -> str:
+        return f"get_json_object({x}, '$.{key}')"
+
+
+class Duck(Spark):
+    name = "duckdb"
+
+    def table(self, name: str) -> str:
+        return name
+
+    def lit(self, pattern: str) -> str:
+        return "'" + pattern + "'"
+
+    def brace(self, text: str) -> str:
+        return text
+
+    def rx_all(self, x: str, pattern: str, to: str) -> str:
+        return f"regexp_replace({x}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+
+    def rx_is(self, x: str, pattern: str) -> str:
+        return f"regexp_matches({x}, '{pattern}')"
+
+    def lines(self, x: str) -> str:
+        return f"string_split({x}, chr(10))"
+
+    def pos_explode(self, array: str, at: str, value: str) -> str:
+        return f", LATERAL (SELECT unnest(generate_series(0, len({array}) - 1)) AS {at}, unnest({array}) AS {value}) _v"
+
+    def joined(self, x: str, order: str, by: str) -> str:
+        return f"string_agg({x}, '{by}' ORDER BY {order}, {x})"
+
+    def listed(self, x: str, order: str) -> str:
+        return f"list({x} ORDER BY {order}, {x})"
+
+    def p_cont(self, x: str, q: float) -> str:
+        return f"quantile_cont({x}, {q})"
+
+    def half_even(self, x: str) -> str:
+        return f"round_even({x}, 0)"
+
+    def sha(self, x: str) -> str:
+        return f"sha256({x})"
+
+    def explode_range(self, low: str, high: str, name: str) -> str:
+        return f", LATERAL (SELECT unnest(generate_series({low}, {high})) AS {name}) _r"
+
+    def dot(self, a: str, b: str) -> str:
+        return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * z[2]))"
+
+    def json(self, x: str, key: str) -> str:
+        return f"json_extract_string({x}, '$.{key}')"
+
+
+SPARK, DUCK = Spark(), Duck()

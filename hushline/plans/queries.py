@@ -1,0 +1,443 @@
+"""The engine's relational operators as declarative plans, each for both dialects.
+
+A plan is a function of a dialect. Turns come from `conversations`; activity frames, logs and
+power samples are projections of `events`, so every plan runs on the shared tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+PLANS: dict[str, Callable] = {}
+BUDGET, TOKENS_PER_LINE, THRESHOLD, CANDIDATES, TOP = 264, 21.9625, 0.3, 20, 8
+
+
+def plan(f: Callable) -> Callable:
+    PLANS[f.__name__] = f
+    return f
+
+
+def turns(d) -> str:
+    return f"(SELECT conv_id, CAST(turn + 1 AS INT) AS line_no, concat('speaker_', substring(role, 1, 1)) AS speaker, replace(text, chr(10), ' ') AS text FROM {d.table('conversations')})"
+
+
+def numbered(d) -> str:
+    return f"(SELECT conv_id, line_no, concat(line_no, ': ', speaker, ': ', text) AS line FROM {turns(d)} t)"
+
+
+def frames(d) -> str:
+    """Activity: stream, slot, frame from 0, probability."""
+    return f"(SELECT user_id % 7 AS stream, CAST(event_id % 3 AS INT) AS slot, row_number() OVER (PARTITION BY user_id % 7, event_id % 3 ORDER BY event_id) - 1 AS frame, value / 40 AS p FROM {d.table('events')})"
+
+
+def runs(d, frames_sql: str, key: str = "stream, slot") -> str:
+    """Runs of active frames, [first, last]."""
+    return f"(SELECT {key}, min(frame) AS first, max(frame) AS last FROM (SELECT *, frame - row_number() OVER (PARTITION BY {key} ORDER BY frame) AS island FROM {frames_sql} f WHERE active) g GROUP BY {key}, island)"
+
+
+def active(d, at: float = 0.5) -> str:
+    return f"(SELECT stream, slot, frame, p >= {at} AS active FROM {frames(d)} a)"
+
+
+def skips(d) -> str:
+    """A skip log: at, skipped seconds."""
+    return f"(SELECT user_id AS stream, event_id AS moment, value AS skipped FROM {d.table('events')} WHERE event_type = 'error')"
+
+
+def power(d) -> str:
+    return f"(SELECT user_id AS run, CAST(event_id AS DOUBLE) AS t, value AS w FROM {d.table('events')})"
+
+
+# Scans, sources and parsing
+@plan
+def turn_parse(d):
+    return f"""SELECT conv_id, turn, CAST(place + 1 AS INT) AS n, CASE WHEN {d.rx_is('line', '^[A-Za-z]+:')} THEN lower({d.rx_get('line', '^([A-Za-z]+):', 1)}) ELSE 'speaker_a' END AS speaker, trim({d.rx_all('line', '^[A-Za-z]+:', '')}) AS text
+FROM (SELECT conv_id, turn, place, trim({d.rx_all('raw', '^[0-9]+:', '')}) AS line FROM (SELECT conv_id, turn, {d.lines('text')} AS parts FROM {d.table('conversations')}) c {d.pos_explode('parts', 'place', 'raw')}) l WHERE line <> ''"""
+
+
+@plan
+def speaker_alias(d):
+    return f"""SELECT conv_id, line_no, text, concat('speaker_', chr(CAST(96 + dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS INT))) AS alias
+FROM (SELECT *, min(line_no) OVER (PARTITION BY conv_id, speaker) AS first FROM {turns(d)} t) f"""
+
+
+@plan
+def manifest_semi_join(d):
+    return f"SELECT conv_id, line_no, speaker, text FROM {turns(d)} t WHERE EXISTS (SELECT 1 FROM {d.table('labels')} m WHERE m.doc_id = t.conv_id AND m.quality = 1)"
+
+
+@plan
+def manifest_skipped(d):
+    return f"SELECT m.doc_id AS id FROM {d.table('labels')} m WHERE NOT EXISTS (SELECT 1 FROM {d.table('conversations')} c WHERE c.conv_id = m.doc_id)"
+
+
+@plan
+def numbered_output_scan(d):
+    return f"SELECT conv_id, CAST({d.rx_get('line', '^([0-9]+):', 1)} AS INT) AS line_no, trim({d.rx_all('line', '^[0-9]+: speaker_[a-z]:', '')}) AS text, count(*) OVER (PARTITION BY conv_id, {d.rx_get('line', '^([0-9]+):', 1)}) AS copies FROM {numbered(d)} t"
+
+
+@plan
+def artifact_digest(d):
+    return f"SELECT page_id, url, {d.sha('html')} AS sha256, length(html) AS n_chars FROM {d.table('pages')}"
+
+
+@plan
+def event_props_scan(d):
+    return f"SELECT event_id, CAST({d.json('props', 'k')} AS INT) AS k, coalesce({d.json('props', 'absent')}, 'none') AS absent FROM {d.table('events')}"
+
+
+@plan
+def rail_power_pivot(d):
+    return f"""SELECT run, sum(CASE WHEN a IS NOT NULL AND v IS NOT NULL THEN a * v END) AS total_w, count(*) AS rails FROM (SELECT user_id AS run, event_id % 10 AS rail, max(CASE WHEN event_type = 'click' THEN value END) AS a, max(CASE WHEN event_type = 'view' THEN value END) AS v FROM {d.table('events')} GROUP BY user_id, event_id % 10) r GROUP BY run"""
+
+
+# Projections and predicates
+@plan
+def format_transcript(d):
+    return f"SELECT conv_id, {d.joined('line', 'line_no', chr(92) + 'n' if d.name == 'spark' else chr(10))} AS transcript FROM {numbered(d)} t GROUP BY conv_id"
+
+
+@plan
+def text_and_number(d):
+    return f"SELECT conv_id, line_no, trim({d.rx_all('line', '^[0-9]+:[^:]*:', '')}) AS text_of, CASE WHEN {d.rx_is('line', '^[0-9]+:')} THEN CAST({d.rx_get('line', '^([0-9]+):', 1)} AS INT) END AS line_number_of, {d.rx_all('line', '^([0-9]+): ', '[$1] ')} AS context FROM {numbered(d)} t"
+
+
+def edits(d) -> str:
+    """Proposed edits: several turns of a conversation edit the same line; some are outside the window, some delete."""
+    return f"(SELECT conv_id, turn AS ordinal, concat('Edit ', turn % 4 + CASE WHEN turn = 7 THEN 90 ELSE 1 END, ' ', CASE WHEN turn % 3 = 0 THEN ': speaker_u: ' WHEN turn % 3 = 1 THEN 'speaker_x: ' ELSE '' END, CASE WHEN turn = 5 THEN '' ELSE substring(replace(text, chr(10), ' '), 1, 12) END) AS raw FROM {d.table('conversations')})"
+
+
+def parsed_edits(d) -> str:
+    return f"(SELECT conv_id, ordinal, CAST({d.rx_get('raw', '^(?i)edit ([0-9]+)' if d.name == 'spark' else '(?i)^edit ([0-9]+)', 1)} AS INT) AS line_no, trim({d.rx_all('trim(' + d.rx_all('raw', '(?i)^edit [0-9]+', '') + ')', '^:', '')}) AS body FROM {edits(d)} e)"
+
+
+@plan
+def edit_extraction(d):
+    return f"SELECT conv_id, ordinal, line_no, body FROM {parsed_edits(d)} e WHERE line_no IS NOT NULL"
+
+
+@plan
+def edit_normalise(d):
+    return f"""SELECT e.conv_id, e.ordinal, e.line_no, CASE WHEN rest = '' THEN '' ELSE concat(t.speaker, ': ', rest) END AS replacement, CASE WHEN rest = '' THEN 'delete' WHEN said = '' THEN 'missing speaker' WHEN said <> t.speaker THEN 'wrong speaker' ELSE 'fine' END AS note
+FROM (SELECT *, {d.rx_get('body', '^(speaker_[a-z]):', 1)} AS said, trim({d.rx_all('body', '^speaker_[a-z]:', '')}) AS rest FROM {parsed_edits(d)} p) e JOIN {turns(d)} t ON e.conv_id = t.conv_id AND e.line_no = t.line_no"""
+
+
+@plan
+def edit_last_wins(d):
+    return f"SELECT conv_id, line_no, max_by(body, ordinal) AS body, min(ordinal) AS place, count(*) AS proposals FROM {parsed_edits(d)} e GROUP BY conv_id, line_no"
+
+
+@plan
+def edit_out_of_window(d):
+    return f"SELECT e.conv_id, e.ordinal, e.line_no FROM {parsed_edits(d)} e WHERE NOT EXISTS (SELECT 1 FROM {turns(d)} t WHERE t.conv_id = e.conv_id AND t.line_no = e.line_no)"
+
+
+@plan
+def edit_apply(d):
+    return f"""SELECT t.conv_id, t.line_no, CASE WHEN e.body IS NULL THEN t.text WHEN e.body = '' THEN NULL ELSE {d.rx_all('e.body', '^speaker_[a-z]: ?', '')} END AS text, e.body IS NOT NULL AS edited
+FROM {turns(d)} t LEFT JOIN (SELECT conv_id, line_no, max_by(body, ordinal) AS body FROM {parsed_edits(d)} x GROUP BY conv_id, line_no) e ON t.conv_id = e.conv_id AND t.line_no = e.line_no"""
+
+
+@plan
+def size_parse(d):
+    return f"SELECT url, CAST({d.rx_get('url', '/([0-9]+)[?]', 1)} AS DOUBLE) / 1000 AS size FROM {d.table('pages')} WHERE {d.rx_is('url', '/[0-9]+[?]')}"
+
+
+@plan
+def aad_builder(d):
+    return f"SELECT conv_id, line_no, concat('{d.brace('{')}\"format\":\"v1\",\"source_name\":\"', speaker, '\",\"track_id\":\"', line_no, '\"{d.brace('}')}') AS aad FROM {turns(d)} t"
+
+
+@plan
+def base64_codec(d):
+    enc = "replace(base64(encode(text, 'utf-8')), chr(13) || chr(10), '')" if d.name == "spark" else "base64(encode(text))"
+    return f"SELECT conv_id, line_no, {enc} AS coded FROM {turns(d)} t"
+
+
+@plan
+def prompt_render(d):
+    a, b = d.brace("{{PROFILE}}"), d.brace("{{WINDOW}}")
+    return f"SELECT conv_id, replace(replace(concat('Window: ', '{b}', ' Profile: ', '{a}'), '{b}', text), '{a}', speaker) AS prompt FROM {turns(d)} t WHERE line_no = 1"
+
+
+# Joins
+@plan
+def positional_zip(d):
+    return f"""SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.n, b.n) AS n, a.line_no AS user_line, b.line_no AS reply_line, a.n IS NULL OR b.n IS NULL AS uneven
+FROM (SELECT conv_id, line_no, row_number() OVER (PARTITION BY conv_id ORDER BY line_no) AS n FROM {turns(d)} t WHERE speaker = 'speaker_u') a FULL OUTER JOIN (SELECT conv_id, line_no, row_number() OVER (PARTITION BY conv_id ORDER BY line_no) AS n FROM {turns(d)} u WHERE speaker = 'speaker_a') b ON a.conv_id = b.conv_id AND a.n = b.n"""
+
+
+@plan
+def lookup_with_drop(d):
+    return f"SELECT t.conv_id, count(l.doc_id) AS found, count(*) - count(l.doc_id) AS dropped FROM {turns(d)} t LEFT JOIN {d.table('labels')} l ON l.doc_id = t.conv_id * 10 + t.line_no GROUP BY t.conv_id"
+
+
+@plan
+def left_join_default(d):
+    return f"SELECT d.doc_id, d.lang, coalesce(l.toxic, 0) AS score, l.doc_id IS NULL AS missing FROM {d.table('documents')} d LEFT JOIN {d.table('labels')} l ON d.doc_id = l.doc_id"
+
+
+@plan
+def group_render(d):
+    return f"SELECT n.n_nationkey, coalesce(g.names, 'none') AS names FROM {d.table('nation')} n LEFT JOIN (SELECT s_nationkey, {d.joined('s_name', 's_suppkey', ', ')} AS names FROM {d.table('supplier')} GROUP BY s_nationkey) g ON n.n_nationkey = g.s_nationkey"
+
+
+@plan
+def resume_anti_join(d):
+    return f"SELECT o.o_orderkey, o.o_custkey FROM {d.table('orders')} o WHERE NOT EXISTS (SELECT 1 FROM {d.table('lineitem')} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')"
+
+
+@plan
+def grid_cross_join(d):
+    return "SELECT a.x AS diariser, b.x AS asr, c.x AS llm, concat('s', a.x, '_a', b.x, '_l', c.x) AS name FROM (VALUES (1), (2), (3), (4)) a(x) CROSS JOIN (VALUES (1), (2), (3), (4)) b(x) CROSS JOIN (VALUES (1), (2), (3), (4)) c(x)"
+
+
+@plan
+def virtual_offset_as_of(d):
+    """Total skipped up to each event: one ordered pass over the union of both logs, no range join."""
+    return f"""SELECT stream, moment AS event_id, total AS virtual_offset FROM (SELECT stream, moment, kind, sum(skipped) OVER (PARTITION BY stream ORDER BY moment, kind ROWS UNBOUNDED PRECEDING) AS total FROM
+(SELECT stream, moment, skipped, 0 AS kind FROM {skips(d)} s UNION ALL SELECT user_id, event_id, 0.0, 1 FROM {d.table('events')} WHERE event_type <> 'error') u) w WHERE kind = 1"""
+
+
+@plan
+def last_skip_as_of(d):
+    fill = "last(skip_at, true)" if d.name == "spark" else "last_value(skip_at IGNORE NULLS)"
+    return f"""SELECT stream, moment AS event_id, skip_at FROM (SELECT stream, moment, kind, {fill} OVER (PARTITION BY stream ORDER BY moment, kind ROWS UNBOUNDED PRECEDING) AS skip_at FROM
+(SELECT stream, moment, moment AS skip_at, 0 AS kind FROM {skips(d)} s UNION ALL SELECT user_id, event_id, CAST(NULL AS BIGINT), 1 FROM {d.table('events')} WHERE event_type <> 'error') u) w WHERE kind = 1"""
+
+
+@plan
+def neighbour_lines(d):
+    """Lines within two of each line: the other side is dealt to three cells, so the join is an equi-join."""
+    return f"""SELECT a.conv_id, a.line_no, {d.joined('b.text', 'b.line_no', ' / ')} AS context FROM (SELECT t.*, CAST(floor(line_no / 5) AS INT) AS cell FROM {turns(d)} t) a
+JOIN (SELECT u.*, cell FROM (SELECT x.*, CAST(floor(line_no / 5) AS INT) - 1 AS low, CAST(floor(line_no / 5) AS INT) + 1 AS high FROM {turns(d)} x) u {d.explode_range('low', 'high', 'cell')}) b
+ON a.conv_id = b.conv_id AND a.cell = b.cell AND b.line_no BETWEEN a.line_no - 2 AND a.line_no + 2 AND b.line_no <> a.line_no GROUP BY a.conv_id, a.line_no"""
+
+
+@plan
+def skyline_walk(d):
+    """Orders that beat all cheaper ones in the number of lines: a running maximum instead of a theta join."""
+    return f"""SELECT o_custkey, o_orderkey, price, n FROM (SELECT *, max(n) OVER (PARTITION BY o_custkey ORDER BY price, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM
+(SELECT o.o_custkey, o.o_orderkey, o.o_totalprice AS price, count(*) AS n FROM {d.table('orders')} o JOIN {d.table('lineitem')} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey, o.o_orderkey, o.o_totalprice) p) w WHERE best IS NULL OR n > best"""
+
+
+@plan
+def interval_samples(d):
+    """Samples of each run: containment by expansion."""
+    return f"SELECT stream, slot, first, count(*) AS samples, sum(sample) AS total FROM (SELECT r.*, sample FROM {runs(d, active(d, 0.7))} r {d.explode_range('first * 4', 'last * 4 + 3', 'sample')}) s GROUP BY stream, slot, first"
+
+
+@plan
+def retrieval_top_k(d):
+    """Per query vector: the top candidates by cosine, cut at the threshold, then the best few. Queries are a stated tenth."""
+    dot = d.dot("q.embedding", "e.embedding")
+    return f"""SELECT query, vec_id, rank FROM (SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query, e.vec_id, round({dot}, 6) AS score FROM
+(SELECT * FROM {d.table('embeddings')} WHERE vec_id % 20 = 0) q JOIN {d.table('embeddings')} e ON e.vec_id < q.vec_id) s) r WHERE rank <= {min(CANDIDATES, TOP)} AND score >= {THRESHOLD}"""
+
+
+@plan
+def retrieval_merge(d):
+    """Best score per remembered vector over all queries, best last."""
+    dot = d.dot("q.embedding", "e.embedding")
+    return f"SELECT vec_id, max(score) AS score, count(*) AS queries FROM (SELECT q.vec_id AS query, e.vec_id, round({dot}, 4) AS score FROM (SELECT * FROM {d.table('embeddings')} WHERE vec_id % 20 = 0) q JOIN {d.table('embeddings')} e ON e.vec_id < q.vec_id) s WHERE score >= {THRESHOLD} GROUP BY vec_id"
+
+
+# Aggregations
+@plan
+def leakage_fraction(d):
+    return f"SELECT d.lang, coalesce(avg(l.toxic), 0) AS leakage, count(l.toxic) AS items FROM {d.table('documents')} d LEFT JOIN {d.table('labels')} l ON d.doc_id = l.doc_id GROUP BY d.lang"
+
+
+@plan
+def label_groups(d):
+    return f"SELECT d.source, d.lang, {d.listed('d.doc_id', 'd.doc_id')} AS ids FROM {d.table('documents')} d JOIN {d.table('labels')} l ON d.doc_id = l.doc_id WHERE coalesce(l.quality, 0) >= 1 GROUP BY d.source, d.lang"
+
+
+@plan
+def utility_score(d):
+    return f"SELECT event_id, (value / 10 + event_id % 10 / 10.0 + user_id % 2) / 3 AS utility FROM {d.table('events')} WHERE value <= 10"
+
+
+@plan
+def timing_summary(d):
+    return f"SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most, count(CASE WHEN event_id > 100 THEN 1 END) AS n_warm, round(avg(CASE WHEN event_id > 100 THEN value END), 6) AS mean_warm FROM {d.table('events')} GROUP BY event_type"
+
+
+@plan
+def power_summary(d):
+    nth = "element_at(array_sort(collect_list(w)), CAST(least(count(*), CAST(floor(0.95 * count(*)) AS BIGINT) + 1) AS INT))" if d.name == "spark" else "list_sort(list(w))[least(count(*), CAST(floor(0.95 * count(*)) AS BIGINT) + 1)]"
+    return f"SELECT run, count(*) AS n, max(t) - min(t) AS duration, round(avg(w), 6) AS mean, {nth} AS p95_nearest, round({d.p_cont('w', 0.95)}, 6) AS p95_linear, max(w) AS peak, round(sum((w + before) / 2 * (t - since)), 4) AS energy FROM (SELECT *, lag(w) OVER (PARTITION BY run ORDER BY t) AS before, lag(t) OVER (PARTITION BY run ORDER BY t) AS since FROM {power(d)} p) q GROUP BY run"
+
+
+@plan
+def real_time_factor(d):
+    return f"SELECT user_id AS run, CASE WHEN sum(value) > 0 THEN max(CASE WHEN event_type <> 'view' THEN value END) / sum(value) END AS rtf FROM {d.table('events')} GROUP BY user_id"
+
+
+@plan
+def weighted_vector_mean(d):
+    """Element-wise mean of each label's vectors, weighted by id, then renormalised."""
+    return f"""SELECT label, place, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 5) AS x FROM (SELECT label, place, sum(CAST(v AS DOUBLE) * (vec_id + 1)) / sum(vec_id + 1) AS m FROM
+(SELECT label, vec_id, embedding FROM {d.table('embeddings')}) e {d.pos_explode('embedding', 'place', 'v')} GROUP BY label, place) s"""
+
+
+@plan
+def composite_score(d):
+    scale = "CASE WHEN max({x}) OVER () = min({x}) OVER () THEN 1 ELSE ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) END"
+    return f"SELECT run, ({scale.format(x='a')} + {scale.format(x='b')}) / 2 AS composite FROM (SELECT user_id AS run, avg(value) AS a, CAST(count(*) AS DOUBLE) AS b FROM {d.table('events')} GROUP BY user_id) e"
+
+
+@plan
+def best_per_config(d):
+    return f"SELECT user_id % 10 AS config, max_by(value, event_id) AS last_value, min_by(event_id, value + event_id / 1e9) AS best FROM {d.table('events')} GROUP BY user_id % 10 HAVING count(*) >= 10"
+
+
+@plan
+def distance_to_best(d):
+    return f"SELECT run, sqrt((a - 40) * (a - 40) / 1600 + (b - 60) * (b - 60) / 3600) - min(sqrt((a - 40) * (a - 40) / 1600 + (b - 60) * (b - 60) / 3600)) OVER () AS distance FROM (SELECT user_id AS run, avg(value) AS a, CAST(count(*) AS DOUBLE) AS b FROM {d.table('events')} GROUP BY user_id) e"
+
+
+@plan
+def queue_depth(d):
+    return f"SELECT user_id, event_id, sum(CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'view' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS depth FROM {d.table('events')}"
+
+
+@plan
+def split_counts(d):
+    return f"SELECT split, n, n = 0 OR n IS NULL AS mismatch FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM {d.table('labels')} GROUP BY 1) s"
+
+
+# Windows
+@plan
+def token_budget(d):
+    return f"SELECT line_no, CAST(greatest(1, {d.half_even(f'line_no * {TOKENS_PER_LINE}')}) AS INT) AS budget FROM (SELECT DISTINCT line_no FROM {turns(d)} t) n"
+
+
+@plan
+def median_filter(d):
+    n = "CASE WHEN coalesce({f}(p) OVER (PARTITION BY stream, slot ORDER BY frame), p) >= 0.5 THEN 1 ELSE 0 END"
+    return f"SELECT stream, slot, frame, {n.format(f='lag')} + {n.format(f='lead')} + CASE WHEN p >= 0.5 THEN 1 ELSE 0 END >= 2 AS active FROM {frames(d)} f"
+
+
+@plan
+def segments(d):
+    return f"SELECT stream, concat('SPEAKER_', lpad(CAST(slot AS {'STRING' if d.name == 'spark' else 'VARCHAR'}), 2, '0')) AS speaker, round(CAST(first AS DOUBLE) / 10, 3) AS start, round(CAST(last + 1 AS DOUBLE) / 10, 3) AS stop FROM {runs(d, active(d))} r WHERE (last + 1 - first) / 10.0 >= 0.1"
+
+
+def slot_sets(d) -> str:
+    return f"(SELECT stream, frame, {d.joined(f'CAST(slot AS {chr(83)}TRING)' if d.name == 'spark' else 'CAST(slot AS VARCHAR)', 'slot', ',')} AS slots, count(*) AS n FROM {active(d)} a WHERE active GROUP BY stream, frame)"
+
+
+@plan
+def overlap_regions(d):
+    whole = f"(SELECT stream, slots, n, min(frame) AS first, max(frame) AS last FROM (SELECT *, frame - row_number() OVER (PARTITION BY stream, slots ORDER BY frame) AS island FROM {slot_sets(d)} s WHERE n >= 2) i GROUP BY stream, slots, n, island)"
+    return f"SELECT stream, slots, n AS speakers, first + 3 * k AS piece_first, least(last, first + 3 * k + 2) AS piece_last FROM (SELECT w.*, k FROM {whole} w {d.explode_range('0', 'CAST(floor((last - first) / 3) AS BIGINT)', 'k')}) p"
+
+
+@plan
+def solo_runs(d):
+    solo = f"(SELECT stream, CAST(slots AS INT) AS slot, frame, true AS active FROM {slot_sets(d)} s WHERE n = 1)"
+    return f"SELECT stream, slot, first, last, rank FROM (SELECT *, row_number() OVER (PARTITION BY stream, slot ORDER BY last - first DESC, first) AS rank FROM {runs(d, solo)} r) k WHERE rank <= 8"
+
+
+@plan
+def top_slots(d):
+    return f"SELECT stream, frame, {d.listed('slot', 'slot')} AS slots FROM (SELECT *, row_number() OVER (PARTITION BY stream, frame ORDER BY p DESC, slot) AS rank FROM {frames(d)} f) r WHERE rank <= 2 GROUP BY stream, frame"
+
+
+@plan
+def cumulative_mean(d):
+    return f"SELECT stream, slot, frame, round(p - avg(p) OVER (PARTITION BY stream, slot ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1e-9, 4) AS x FROM {frames(d)} f"
+
+
+@plan
+def proportional_timing(d):
+    return f"""SELECT conv_id, line_no, place, word, round(10 * (upto - weight) / CAST(total AS DOUBLE), 3) AS start, round(10 * upto / CAST(total AS DOUBLE), 3) AS stop FROM (SELECT *, sum(weight) OVER (PARTITION BY conv_id, line_no ORDER BY place) AS upto, sum(weight) OVER (PARTITION BY conv_id, line_no) AS total FROM
+(SELECT conv_id, line_no, place, word, greatest(1, length({d.rx_all('lower(word)', '[^a-z0-9]', '')})) AS weight FROM (SELECT conv_id, line_no, {'split' if d.name == 'spark' else 'string_split'}(text, ' ') AS words FROM {turns(d)} t) w {d.pos_explode('words', 'place', 'word')}) x) y"""
+
+
+@plan
+def gap_segments(d):
+    return f"""SELECT user_id, session, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS session FROM (SELECT user_id, event_id, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS gap FROM {d.table('events')}) g) s GROUP BY user_id, session"""
+
+
+@plan
+def moving_average(d):
+    part = "PARTITION BY run ORDER BY t"
+    return f"SELECT run, t, round(CASE WHEN row_number() OVER ({part}) <= 12 OR count(*) OVER (PARTITION BY run) - row_number() OVER ({part}) < 12 THEN w ELSE avg(w) OVER ({part} ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) END, 6) AS smooth FROM {power(d)} p"
+
+
+@plan
+def cumulative_skip(d):
+    return f"SELECT stream, moment, round(sum(skipped) OVER (PARTITION BY stream ORDER BY moment), 6) AS cumulative FROM {skips(d)} s"
+
+
+@plan
+def change_only(d):
+    return f"SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {d.table('events')}) e WHERE event_type IS DISTINCT FROM before"
+
+
+@plan
+def continuity_guard(d):
+    return f"SELECT stream, slot, count(*) AS gaps FROM (SELECT stream, slot, frame - lag(frame) OVER (PARTITION BY stream, slot ORDER BY frame) AS step FROM {active(d)} a WHERE active) g WHERE step > 1 GROUP BY stream, slot"
+
+
+@plan
+def activation_schedule(d):
+    return f"SELECT line_no, floor((line_no + 1) * 0.3 + 0.5) > floor(line_no * 0.3 + 0.5) AS dense FROM (SELECT DISTINCT line_no FROM {turns(d)} t) n"
+
+
+# Sets, dedup, validation
+@plan
+def exact_dedup(d):
+    return f"SELECT lang, source, key, min(doc_id) AS kept, count(*) AS copies FROM (SELECT doc_id, lang, source, {d.sha(d.rx_all('lower(trim(text))', '[ ]+', ' '))} AS key FROM {d.table('documents')}) k GROUP BY lang, source, key"
+
+
+@plan
+def first_wins(d):
+    return f"SELECT user_id, min_by(value, event_id) AS first_value, max_by(value, event_id) AS last_value FROM {d.table('events')} GROUP BY user_id"
+
+
+@plan
+def validation_chain(d):
+    return f"""SELECT event_id, CASE WHEN {d.json('props', 'k')} IS NULL THEN 'missing key' WHEN CAST({d.json('props', 'k')} AS INT) > 90 THEN 'out of range' WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup', 'error') THEN 'unknown kind' WHEN value < 1 THEN 'too small' ELSE 'accepted' END AS verdict FROM {d.table('events')}"""
+
+
+@plan
+def guess_classes(d):
+    return f"SELECT conv_id, line_no, {d.rx_is('text', '(?i)^(no|none|unknown|not )')} AS no_inference, {d.rx_is('text', '(?i)^(the|a|an)$')} AS generic, trim({d.rx_all('lower(speaker)', '[^a-z0-9]+', '_')}) AS speaker_key FROM {turns(d)} t"
+
+
+@plan
+def profile_log(d):
+    return f"SELECT conv_id, line_no, 'turn' AS kind FROM {turns(d)} t UNION ALL SELECT conv_id, CAST(line_no AS INT), 'edit' FROM {parsed_edits(d)} e"
+
+
+@plan
+def fixed_chunks(d):
+    return f"SELECT doc_id, k AS chunk, k * 500 AS first, least((k + 1) * 500, n) AS stop FROM (SELECT x.*, k FROM (SELECT doc_id, length(text) AS n FROM {d.table('documents')} WHERE length(text) > 0) x {d.explode_range('0', 'CAST(floor((n - 1) / 500) AS INT)', 'k')}) c"
+
+
+@plan
+def prefix_under_budget(d):
+    return f"SELECT conv_id, max(line_no) AS lines, max(total) AS tokens FROM (SELECT conv_id, line_no, sum(n) OVER (PARTITION BY conv_id ORDER BY line_no) AS total FROM (SELECT conv_id, line_no, length(text) - length(replace(text, ' ', '')) + 1 AS n FROM {turns(d)} t) c) s WHERE total <= 200 GROUP BY conv_id"
+
+
+@plan
+def weighted_factor(d):
+    return f"SELECT user_id, 0.81 * avg(CASE WHEN event_id % 3 = 0 THEN value END) + 0.15 * avg(CASE WHEN event_id % 3 = 1 THEN value END) + 0.04 * avg(CASE WHEN event_id % 3 = 2 THEN value END) AS rtf FROM {d.table('events')} GROUP BY user_id"
+
+
+@plan
+def separation_diagnostics(d):
+    return f"SELECT user_id, max(abs(value)) AS peak, round(CASE WHEN stddev_pop(value) > 1e-8 THEN corr(value, CAST(event_id AS DOUBLE)) END, 6) AS correlation, count(CASE WHEN value IS NULL THEN 1 END) = 0 AS finite FROM {d.table('events')} GROUP BY user_id"
+
+
+@plan
+def route_by_kind(d):
+    return f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'errors' WHEN event_type = 'view' THEN 'timing' ELSE 'profile' END AS kind FROM {d.table('events')}) k GROUP BY kind"
+
+
+@plan
+def clock_rebase(d):
+    return f"SELECT user_id, event_id, event_id - min(event_id) OVER (PARTITION BY user_id) AS since_origin FROM {d.table('events')}"
