@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, fresh_path, text_of, written
 
-END, SEQUENCE, BATCH, FILE_ROWS, SLICE_BYTES = 2, 1024, 256, 4000, 3 << 20
+END, SEQUENCE, BATCH, FILE_ROWS, SLICE_BYTES = 2, 1024, 256, 4000, 6 << 20
 
 
 def default_tokenizer() -> str:
@@ -47,21 +47,40 @@ class Encoder:
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.known: dict[str, bytes] = {}  # ids as bytes: a third of an array's memory
+        self.stems: dict[str, bytes] = {}
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
+    def _encode(self, parts: list[str]) -> None:
+        for k in range(0, len(parts), 2000):
+            part = parts[k : k + 2000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, starts = np.array(e.ids, self.dtype).tobytes(), np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            cuts = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)) * np.dtype(self.dtype).itemsize
+            self.stems.update(zip(part, map(ids.__getitem__, map(slice, [0, *cuts.tolist()], cuts.tolist())), strict=False))
+
     def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each piece, end to end, and how many each has."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.keep:
+        """Ids of each piece, end to end, and how many each has.
+
+        An ASCII piece is lower-cased first, as the tokenizer does, and a comma or full stop after a
+        letter, a word of its own to the tokenizer, is split off: fewer stems are left to encode.
+        """
+        if len(self.known) + len(pieces) > self.keep:
             self.known.clear()
-            new = pieces
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, starts = np.array(e.ids, self.dtype), np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            for p, x in zip(part, np.split(ids, np.searchsorted(starts, ends[:-1])), strict=True):
-                self.known[p] = x.tobytes()
+            self.stems.clear()
+        new, wanted = [], set()
+        for p in pieces:
+            if p not in self.known:
+                stem, tail = p, ""
+                if p.isascii() and "<|" not in p:
+                    stem = p.lower()
+                if stem[-1:] in (".", ",") and stem[-2:-1].isalpha():
+                    stem, tail = stem[:-1], stem[-1]
+                new.append((p, stem, tail))
+                wanted.add(stem)
+        wanted.update(".,")
+        self._encode([x for x in wanted if x not in self.stems])
+        for p, stem, tail in new:
+            self.known[p] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
         got = [self.known[p] for p in pieces]
         return np.frombuffer(b"".join(got), self.dtype), np.fromiter(map(len, got), np.int64, len(got)) // np.dtype(self.dtype).itemsize
 
@@ -84,6 +103,16 @@ class Encoder:
         return out, counts
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One encoder, with its pieces, for each worker process: tasks that follow find common pieces known."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _within(n: np.ndarray) -> np.ndarray:
     """0, 1, ... n[k]-1 for each k, end to end."""
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -154,7 +183,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, sequ
         name = f"part-{part:06d}-{uuid.uuid4().hex}.arrows"
         for b in batches:
             if encoder is None:
-                encoder = Encoder(tokenizer)
+                encoder = encoder_for(tokenizer)
                 fs.create_dir(path, recursive=True)
                 sink = fs.open_output_stream(f"{path}/{name}")
                 writer = SequenceWriter(sink, sequence, encoder.dtype)
