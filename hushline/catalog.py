@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushline.operators.windows import BUDGET, causal_windows, token_count
+from hushline.plans import timeline as _timeline  # noqa: F401  (registers its plans)
 from hushline.plans.dialect import DUCK, SPARK
 from hushline.plans.queries import PLANS, turns
 

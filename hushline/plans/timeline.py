@@ -1,0 +1,195 @@
+"""Further plans for both dialects: timing, masks, framing, rendering, reports and control."""
+
+from __future__ import annotations
+
+from hushline.plans.queries import TOKENS_PER_LINE, active, frames, parsed_edits, plan, power, runs, skips, slot_sets, turns
+
+
+def text_type(d) -> str:
+    return "STRING" if d.name == "spark" else "VARCHAR"
+
+
+def words(d, key: str = "conv_id, line_no") -> str:
+    """Words of each turn with their places from 0 and their number."""
+    cut = "split" if d.name == "spark" else "string_split"
+    return f"(SELECT {key}, place, word, count(*) OVER (PARTITION BY {key}) AS n FROM (SELECT {key}, {cut}(text, ' ') AS parts FROM {turns(d)} t) s {d.pos_explode('parts', 'place', 'word')})"
+
+
+def floats(d, array: str) -> str:
+    """Elements of an array expression over embeddings, as rows."""
+    return f"(SELECT vec_id, label, place, CAST(x AS DOUBLE) AS v FROM (SELECT vec_id, label, {array} AS parts FROM {d.table('embeddings')}) e {d.pos_explode('parts', 'place', 'x')})"
+
+
+# Parsing and projection
+@plan
+def cpu_set_parse(d):
+    cut = "split" if d.name == "spark" else "string_split"
+    return f"""SELECT DISTINCT event_id, cpu FROM (SELECT event_id, CAST(split_part(part, '-', 1) AS INT) AS low, CAST(CASE WHEN part LIKE '%-%' THEN split_part(part, '-', 2) ELSE part END AS INT) AS high FROM
+(SELECT event_id, {cut}(concat(event_id % 4, '-', event_id % 4 + 2, ',', event_id % 9), ',') AS parts FROM {d.table('events')}) e {d.pos_explode('parts', 'at', 'part')}) r {d.explode_range('low', 'high', 'cpu')}"""
+
+
+@plan
+def manifest_rows(d):
+    return f"SELECT split, concat(doc_id, ',', lang, ',', split) AS row_text FROM (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM {d.table('documents')}) s WHERE split <> 'train'"
+
+
+@plan
+def line_commit(d):
+    return f"SELECT conv_id, line_no, lower(trim(speaker)) AS speaker, trim(text) AS text, round(line_no * 1.2345 + 1e-9, 3) AS committed FROM {turns(d)} t WHERE trim(text) <> ''"
+
+
+@plan
+def core_crop(d):
+    return f"SELECT vec_id, place, v FROM {floats(d, 'slice(embedding, 9, 48)' if d.name == 'spark' else 'embedding[9:56]')} c"
+
+
+@plan
+def pad_or_cut(d):
+    """Even ids padded with zeros to 72, odd ones cut to 48."""
+    padded, cut = ("concat(embedding, array_repeat(CAST(0 AS FLOAT), 8))", "slice(embedding, 1, 48)") if d.name == "spark" else ("list_concat(embedding, list_resize(CAST([] AS FLOAT[]), 8, CAST(0 AS FLOAT)))", "embedding[1:48]")
+    return f"SELECT vec_id, place, v FROM {floats(d, f'CASE WHEN vec_id % 2 = 0 THEN {padded} ELSE {cut} END')} p"
+
+
+@plan
+def sigmoid_emit(d):
+    return f"SELECT stream, slot, frame - 1 AS k, round(1 / (1 + exp(-p)), 9) AS x, round((frame - 1) * 0.1 + 1e-9, 3) AS at FROM (SELECT *, max(frame) OVER (PARTITION BY stream, slot) AS last FROM {frames(d)} f) f WHERE frame > 0 AND frame < last"
+
+
+# Joins
+@plan
+def anonymised_timing(d):
+    """Timings of the lines that survive their edits; empty texts are dropped."""
+    return f"""SELECT t.conv_id, t.line_no, CAST(t.line_no AS DOUBLE) * 2.5 AS start, coalesce(e.body, t.text) AS text FROM {turns(d)} t
+LEFT JOIN (SELECT conv_id, line_no, max_by(body, ordinal) AS body FROM {parsed_edits(d)} x GROUP BY conv_id, line_no) e ON t.conv_id = e.conv_id AND t.line_no = e.line_no WHERE trim(coalesce(e.body, t.text)) <> ''"""
+
+
+@plan
+def release_lookup(d):
+    return f"""SELECT a.id, CASE WHEN s.n IS NULL THEN 'missing' WHEN s.n > 1 THEN 'duplicate' ELSE 'released' END AS status FROM (SELECT n_nationkey * 3 AS id FROM {d.table('nation')}) a
+LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM {d.table('supplier')} GROUP BY s_nationkey) s ON s.s_nationkey = a.id"""
+
+
+@plan
+def timeline_rebuilt(d):
+    """Completed moments moved by the skips up to them; the lag is against the source's own, unmoved, moment."""
+    return f"""SELECT stream, moment AS event_id, moment + coalesce(total, 0) AS completed, round(moment + coalesce(total, 0) - origin, 6) AS lag FROM (SELECT stream, moment, kind, origin, sum(skipped) OVER (PARTITION BY stream ORDER BY moment, kind ROWS UNBOUNDED PRECEDING) AS total FROM
+(SELECT stream, moment, skipped, 0 AS kind, CAST(NULL AS BIGINT) AS origin FROM {skips(d)} s UNION ALL SELECT user_id, event_id, 0.0, 1, event_id - event_id % 5 FROM {d.table('events')} WHERE event_type NOT IN ('error', 'view')) u) w WHERE kind = 1"""
+
+
+@plan
+def edit_rendering(d):
+    """An edit between the lines around it; the other side of the join is dealt to cells, as in neighbour_lines."""
+    nl = chr(92) + "n" if d.name == "spark" else chr(10)
+    side = lambda order: d.joined(f"CASE WHEN b.line_no {order} a.line_no THEN concat('[', b.line_no, '] ', b.text) END", "b.line_no", nl)
+    return f"""SELECT a.conv_id, a.line_no, concat(coalesce({side('<')}, ''), ' | Original: ', max(a.text), ' | Changed: ', max(a.body), ' | ', coalesce({side('>')}, '')) AS entry FROM
+(SELECT t.conv_id, t.line_no, t.text, e.body, CAST(floor(t.line_no / 5) AS INT) AS cell FROM {turns(d)} t JOIN (SELECT conv_id, line_no, max_by(body, ordinal) AS body FROM {parsed_edits(d)} x GROUP BY conv_id, line_no) e ON t.conv_id = e.conv_id AND t.line_no = e.line_no WHERE e.body <> '') a
+LEFT JOIN (SELECT u.*, cell FROM (SELECT x.*, CAST(floor(line_no / 5) AS INT) - 1 AS low, CAST(floor(line_no / 5) AS INT) + 1 AS high FROM {turns(d)} x) u {d.explode_range('low', 'high', 'cell')}) b
+ON a.conv_id = b.conv_id AND a.cell = b.cell AND b.line_no BETWEEN a.line_no - 2 AND a.line_no + 2 AND b.line_no <> a.line_no GROUP BY a.conv_id, a.line_no"""
+
+
+# Aggregates and reports
+@plan
+def speech_seconds(d):
+    return f"SELECT stream, slot, seconds, row_number() OVER (PARTITION BY stream ORDER BY seconds DESC, slot) AS rank FROM (SELECT stream, slot, round(CAST(sum(CASE WHEN active THEN 1 ELSE 0 END) AS DOUBLE) / 10, 3) AS seconds FROM {active(d)} a GROUP BY stream, slot) s WHERE seconds >= 0.5"
+
+
+@plan
+def run_report(d):
+    return f"SELECT user_id, count(CASE WHEN event_type <> 'error' THEN 1 END) AS active_windows, count(CASE WHEN event_type = 'error' THEN 1 END) AS empty_windows, round(sum(value) / (max(event_id) - min(event_id) + 1), 6) AS elapsed_ratio FROM {d.table('events')} GROUP BY user_id"
+
+
+@plan
+def validation_counts(d):
+    kept = "value >= 1 AND event_type <> 'error'"
+    reason = f"CASE WHEN NOT ({kept}) THEN concat(event_id, ': ', CASE WHEN value < 1 THEN 'too small' ELSE 'error' END) END"
+    return f"SELECT user_id, count(CASE WHEN {kept} THEN 1 END) AS accepted, count(CASE WHEN NOT ({kept}) THEN 1 END) AS rejected, coalesce({d.joined(reason, 'event_id', '; ')}, '') AS reasons FROM {d.table('events')} GROUP BY user_id"
+
+
+@plan
+def idle_predicate(d):
+    return f"SELECT user_id, bool_and(value > 0.5) AND max(event_id % 7) = 6 AS idle FROM {d.table('events')} GROUP BY user_id"
+
+
+@plan
+def fixture_budget(d):
+    return f"SELECT conv_id, sum(n) AS tokens, CASE WHEN sum(n) <= {round(12 * TOKENS_PER_LINE)} THEN 'ok' ELSE 'over budget' END AS verdict FROM (SELECT conv_id, length(text) - length(replace(text, ' ', '')) + 1 AS n FROM {turns(d)} t) c GROUP BY conv_id"
+
+
+@plan
+def latest_profile(d):
+    return f"SELECT user_id, event_type AS kind, max_by(value, event_id) AS latest, max(event_id) AS seq FROM {d.table('events')} WHERE event_type <> 'error' GROUP BY user_id, event_type"
+
+
+@plan
+def speech_samples(d):
+    """Runs in samples, clamped to the recording; totals of each stream."""
+    return f"SELECT stream, count(*) AS pieces, sum(stop - start) AS samples FROM (SELECT stream, greatest(first * 2, 10) AS start, least((last + 1) * 2, 2000) AS stop FROM {runs(d, active(d, 0.7))} r) c WHERE stop > start GROUP BY stream"
+
+
+# Windows and sequences
+@plan
+def min_max_scaling(d):
+    return f"SELECT run, t, (w - min(w) OVER (PARTITION BY run)) / nullif(max(w) OVER (PARTITION BY run) - min(w) OVER (PARTITION BY run), 0) AS scaled FROM {power(d)} p"
+
+
+@plan
+def solo_masks(d):
+    """Per frame: who is alone, where voices overlap, and what neither a solo nor a separated piece covers."""
+    return f"SELECT stream, frame, n, n = 1 AS solo, n >= 2 AS overlap, n >= 2 AND frame % 5 <> 0 AS uncovered, slots FROM {slot_sets(d)} s"
+
+
+@plan
+def context_stacking(d):
+    part = "PARTITION BY stream, slot ORDER BY frame"
+    low, high = f"first_value(p) OVER ({part})", f"last_value(p) OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"SELECT * FROM (SELECT stream, slot, frame, coalesce(lag(p, 2) OVER ({part}), {low}) AS m2, coalesce(lag(p) OVER ({part}), {low}) AS m1, p AS c, coalesce(lead(p) OVER ({part}), {high}) AS p1, coalesce(lead(p, 2) OVER ({part}), {high}) AS p2 FROM {frames(d)} f) s WHERE frame % 3 = 0"
+
+
+@plan
+def rms_gate(d):
+    return f"SELECT stream, slot, block, round(sqrt(sum(p * p) / count(*)), 6) AS rms FROM (SELECT *, CAST(floor(frame / 10) AS BIGINT) AS block FROM {frames(d)} f) b GROUP BY stream, slot, block HAVING sqrt(sum(p * p) / count(*)) >= 0.5"
+
+
+@plan
+def mean_centred(d):
+    return f"SELECT vec_id, place, round(v - avg(v) OVER (PARTITION BY label, place) + 1e-12, 6) AS x FROM {floats(d, 'embedding')} e"
+
+
+@plan
+def uniform_timing(d):
+    return f"SELECT conv_id, line_no, place, word, round(line_no * 3 + 2.5 * place / n + 1e-9, 3) AS start, round(line_no * 3 + 2.5 * (place + 1) / n + 1e-9, 3) AS stop FROM {words(d)} w"
+
+
+@plan
+def subword_words(d):
+    """Words from subword tokens: a click begins one, error tokens are markup; the last takes the least gap, bounded."""
+    token = f"(SELECT user_id, CAST(event_id AS DOUBLE) / 10 AS moment, event_type AS piece, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS word FROM {d.table('events')} WHERE event_type <> 'error')"
+    return f"""SELECT user_id, word, round(start, 3) AS start, round(coalesce(follows, start + greatest(0.02, least(1.12, coalesce(min(follows - start) OVER (PARTITION BY user_id), 0.32)))), 3) AS stop, pieces FROM
+(SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY word) AS follows FROM (SELECT user_id, word, min(moment) AS start, {d.joined('piece', 'moment', '')} AS pieces FROM {token} t GROUP BY user_id, word) g) l"""
+
+
+@plan
+def gap_pieces(d):
+    """Sessions split at gaps, each then cut into fixed pieces."""
+    return f"""SELECT user_id, session, first + 500 * k AS piece_first, least(last, first + 500 * k + 499) AS piece_last FROM (SELECT s.*, k FROM (SELECT user_id, session, min(event_id) AS first, max(event_id) AS last FROM (SELECT user_id, event_id, sum(CASE WHEN gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS session FROM
+(SELECT user_id, event_id, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS gap FROM {d.table('events')}) g) x GROUP BY user_id, session) s {d.explode_range('0', 'CAST(floor((last - first) / 500) AS BIGINT)', 'k')}) p"""
+
+
+@plan
+def hysteresis_state(d):
+    """Two watermarks and a timeout. Promoting and demoting signals exclude each other, so the state is the last signal's."""
+    last = "last(signal, true)" if d.name == "spark" else "last_value(signal IGNORE NULLS)"
+    return f"""SELECT user_id, event_id, depth, coalesce({last} OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 'background') AS state FROM
+(SELECT *, CASE WHEN depth > 6 OR age >= 90 THEN 'promoted' WHEN depth < 3 THEN 'background' END AS signal FROM (SELECT user_id, event_id, event_id % 11 AS depth, value AS age FROM {d.table('events')}) q) s"""
+
+
+# Sets
+@plan
+def unknown_keys(d):
+    return f"SELECT n_nationkey AS missing FROM {d.table('nation')} EXCEPT SELECT s_nationkey FROM {d.table('supplier')}"
+
+
+@plan
+def run_filter(d):
+    """The rows of one seed, and the whole pool under the base seed."""
+    return f"SELECT 1 AS seed, event_id, value FROM {d.table('events')} WHERE user_id % 4 = 1 UNION ALL SELECT 0, event_id, value FROM {d.table('events')}"
