@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushline.functions import envelope, payloads
 from hushline.operators.windows import BUDGET, causal_windows, token_count
 from hushline.plans import timeline as _timeline  # noqa: F401  (registers its plans)
 from hushline.plans.dialect import DUCK, SPARK
 from hushline.plans.queries import PLANS, turns
+from hushline.session import ship
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 FLAGSHIP = "windows_by_budget"
@@ -35,9 +37,35 @@ def windows_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal_windows(lines).groupBy("conv_id", "window_id").agg(F.count("*").alias("lines"), F.min("line_no").alias("first_line"))
 
 
+def payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records out of payloads in prose, with a citation before them, one cut off or malformed by turn; each with its verdict."""
+    quoted = F.regexp_replace("text", r'[\\\\"]|[\\x00-\\x1f]', " ")
+    record = F.concat(F.lit('{"speaker": "Speaker '), F.substring("role", 1, 1), F.lit('", "attribute": "'), F.when(F.col("turn") % 4 == 3, "mood").otherwise("identity"), F.lit('", "guess": "'), F.substring(quoted, 1, 40), F.lit('"'))
+    text = F.concat(F.lit("As line [1] says: ["), record, F.lit("}, "), record, F.when(F.col("turn") % 2 == 0, F.lit("},]")).otherwise(F.lit("")))
+    turns_ = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), text.alias("payload"))
+    return payloads.validated(payloads.recovered(turns_, "turn_id", "payload"), "turn_id")
+
+
+def sealed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seals each turn under its own associated data, opens it again, and checks that changed data or bytes don't open.
+
+    The key is derived from the turn here as a fixture; real keys come from a secure random source.
+    """
+    turns_ = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    key, plain, aad = F.unhex(F.sha2(F.concat_ws(":", "conv_id", "turn"), 256)), F.encode("text", "utf-8"), F.concat_ws(":", "conv_id", "turn", "role")
+    one = turns_.select("conv_id", "turn", key.alias("key"), plain.alias("plain"), aad.alias("aad")).withColumn("sealed", envelope.seal(F.col("plain"), F.col("key"), F.col("aad")))
+    last = F.col("sealed").substr(F.length("sealed"), F.lit(1))
+    flipped = F.concat(F.col("sealed").substr(F.lit(1), F.length("sealed") - 1), F.when(last == F.lit(b"\x00"), F.lit(b"\x01")).otherwise(F.lit(b"\x00")))
+    tries = {"opens": envelope.opened(F.col("sealed"), F.col("key"), F.col("aad")).eqNullSafe(F.col("plain")), "wrong_aad_fails": envelope.opened(F.col("sealed"), F.col("key"), F.concat("aad", F.lit("x"))).isNull(), "flipped_fails": envelope.opened(flipped, F.col("key"), F.col("aad")).isNull()}
+    return one.select("conv_id", "turn", F.length("plain").cast("long").alias("plaintext_bytes"), F.length("sealed").cast("long").alias("sealed_bytes"), F.sha2("plain", 256).alias("plaintext_sha256"), *[c.alias(n) for n, c in tries.items()])
+
+
+_SEALED = "SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS plaintext_bytes, CAST(strlen(text) + 28 AS BIGINT) AS sealed_bytes, sha256(text) AS plaintext_sha256, true AS opens, true AS wrong_aad_fails, true AS flipped_fails FROM conversations"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: windows_by_budget} | {name: lambda spark, sf_dir, name=name: run_plan(spark, sf_dir, name) for name in PLANS}
+    return {FLAGSHIP: windows_by_budget, "payload_validation": payload_validation, "sealed_tracks": sealed_tracks} | {name: lambda spark, sf_dir, name=name: run_plan(spark, sf_dir, name) for name in PLANS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {FLAGSHIP: _WINDOWS} | {name: build(DUCK) for name, build in PLANS.items()}
+    return {FLAGSHIP: _WINDOWS, "sealed_tracks": _SEALED} | {name: build(DUCK) for name, build in PLANS.items()}

@@ -5,10 +5,6 @@ from __future__ import annotations
 from hushline.plans.queries import TOKENS_PER_LINE, active, frames, parsed_edits, plan, power, runs, skips, slot_sets, turns
 
 
-def text_type(d) -> str:
-    return "STRING" if d.name == "spark" else "VARCHAR"
-
-
 def words(d, key: str = "conv_id, line_no") -> str:
     """Words of each turn with their places from 0 and their number."""
     cut = "split" if d.name == "spark" else "string_split"
