@@ -14,6 +14,7 @@ once per task and the ids are gathered in Arrow. That is checked against whole-t
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import buckets_for, fresh_path, text_of, written
 
 END, SEQUENCE, BATCH, FILE_ROWS, SLICE_BYTES = 2, 1024, 256, 4000, 6 << 20
+#: Letters that stay letters when composed and lower-cased (some others end in a mark then, which joins a stop).
+LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3C9}\x{400}-\x{481}\x{4E00}-\x{9FFF}"
 
 
 def default_tokenizer() -> str:
@@ -39,50 +42,78 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Encodes texts by distinct pieces; keeps a bounded table of the pieces seen."""
+    """Encodes texts by distinct stems; keeps a bounded table of the stems seen, as flat arrays.
+
+    A stem is a piece without the comma or full stop after a last letter (LETTERS), a word of its
+    own to the tokenizer; an ASCII piece is lower-cased first, as the tokenizer does. Stems of
+    a-z alone are one word each, so the model without its normaliser gives their ids, and the
+    tokens that end a word tell them apart.
+    """
 
     def __init__(self, path: str, keep: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.known: dict[str, bytes] = {}  # ids as bytes: a third of an array's memory
-        self.stems: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer, self.keep, self.plain = Tokenizer.from_file(path), keep, None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-
-    def _encode(self, parts: list[str]) -> None:
-        for k in range(0, len(parts), 2000):
-            part = parts[k : k + 2000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, starts = np.array(e.ids, self.dtype).tobytes(), np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
-            cuts = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)) * np.dtype(self.dtype).itemsize
-            self.stems.update(zip(part, map(ids.__getitem__, map(slice, [0, *cuts.tolist()], cuts.tolist())), strict=False))
-
-    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each piece, end to end, and how many each has.
-
-        An ASCII piece is lower-cased first, as the tokenizer does, and a comma or full stop after a
-        letter, a word of its own to the tokenizer, is split off: fewer stems are left to encode.
-        """
-        if len(self.known) + len(pieces) > self.keep:
-            self.known.clear()
-            self.stems.clear()
-        new, wanted = [], set()
-        for p in pieces:
-            if p not in self.known:
-                stem, tail = p, ""
-                if p.isascii() and "<|" not in p:
-                    stem = p.lower()
-                if stem[-1:] in (".", ",") and stem[-2:-1].isalpha():
-                    stem, tail = stem[:-1], stem[-1]
-                new.append((p, stem, tail))
-                wanted.add(stem)
-        wanted.update(".,")
-        self._encode([x for x in wanted if x not in self.stems])
-        for p, stem, tail in new:
-            self.known[p] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
-        got = [self.known[p] for p in pieces]
-        return np.frombuffer(b"".join(got), self.dtype), np.fromiter(map(len, got), np.int64, len(got)) // np.dtype(self.dtype).itemsize
+        suffix, steps = spec["model"].get("end_of_word_suffix"), [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if suffix and steps == ["NFC", "Replace", "Lowercase"]:
+            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[k for w, k in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.stems, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        self._learn(pa.array([".", ","], pa.large_string()))
+
+    def _full(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts, end to end, and how many each has, by the tokenizer as it is."""
+        e = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+        cuts = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1))
+        return np.array(e.ids, self.dtype), np.diff(cuts, prepend=0)
+
+    def _letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts of a-z alone."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(parts) else self._full(parts)
+
+    def _learn(self, new: pa.Array) -> None:
+        """Adds distinct stems that are not known yet."""
+        simple = pc.match_substring_regex(new, "^[a-z]+$") if self.plain else pa.array(np.zeros(len(new), bool))
+        stems, flat, sizes = [self.stems], [self.flat], [self.sizes]
+        for some, encode in ((new.filter(simple), self._letters), (new.filter(pc.invert(simple)), self._full)):
+            for k in range(0, len(some), 2000):
+                ids, n = encode(some[k : k + 2000].to_pylist())
+                flat.append(ids)
+                sizes.append(n)
+            stems.append(some)
+        self.stems, self.flat, self.sizes = pa.concat_arrays(stems), np.concatenate(flat), np.concatenate(sizes)
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, end to end, and how many each has."""
+        ascii_ = pc.and_not(pc.string_is_ascii(pieces), pc.match_substring(pieces, "<|"))
+        stems = pc.if_else(ascii_, pc.ascii_lower(pieces), pieces)
+        stopped = pc.match_substring_regex(stems, f"[{LETTERS}][.,]$")
+        tail = stopped.to_numpy(zero_copy_only=False)
+        comma = pc.ends_with(stems, ",").to_numpy(zero_copy_only=False)
+        coded = pc.dictionary_encode(pc.if_else(stopped, pc.replace_substring_regex(stems, "[.,]$", ""), stems))
+        if len(self.stems) + len(coded.dictionary) > self.keep:
+            self._forget()
+        at = pc.index_in(coded.dictionary, self.stems)
+        if at.null_count:
+            self._learn(coded.dictionary.filter(pc.is_null(at)))
+            at = pc.index_in(coded.dictionary, self.stems)
+        stem = at.to_numpy()[coded.indices.to_numpy()]
+        first, own = np.cumsum(self.sizes) - self.sizes, self.sizes[stem]
+        n = own + tail
+        out, upto = _gather(self.flat, first[stem], n), np.cumsum(n)
+        out[upto[tail] - 1] = self.flat[first[comma[tail].astype(np.int64)]]  # stems 0 and 1 are the stop and the comma
+        return out, n
 
     def texts(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and the counts."""
@@ -90,17 +121,20 @@ class Encoder:
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         at = words.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(words.flatten())
-        which, (flat, sizes) = coded.indices.to_numpy(zero_copy_only=False), self.pieces(coded.dictionary.to_pylist())
-        first = np.concatenate(([0], np.cumsum(sizes)))
-        n = sizes[which] if len(which) else np.zeros(0, np.int64)
-        before = np.concatenate(([0], np.cumsum(n)))
-        counts = before[at[1:]] - before[at[:-1]] + 1
-        doc = np.repeat(np.arange(len(texts)), np.diff(at))
-        to = np.repeat(before[:-1] + doc, n) + _within(n)
-        out = np.empty(before[-1] + len(texts), self.dtype)
-        out[to] = flat[np.repeat(first[:-1][which] if len(which) else n, n) + _within(n)]
-        out[np.cumsum(counts) - 1] = end
-        return out, counts
+        flat, sizes = self.pieces(coded.dictionary)
+        # the end id is one more piece, put after each text's last word
+        which = np.insert(coded.indices.to_numpy(), at[1:] - at[0], len(sizes))
+        flat, sizes = np.append(flat, np.array([end], self.dtype)), np.append(sizes, 1)
+        n = sizes[which]
+        upto = np.concatenate(([0], np.cumsum(n)))[at - at[0] + np.arange(len(at))]
+        return _gather(flat, (np.cumsum(sizes) - sizes)[which], n), np.diff(upto)
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[first[k] : first[k] + n[k]] for each k, end to end; places past the end give its last value."""
+    at = np.repeat(first - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return flat.take(at, mode="clip")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -113,11 +147,6 @@ def encoder_for(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _within(n: np.ndarray) -> np.ndarray:
-    """0, 1, ... n[k]-1 for each k, end to end."""
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
 def _slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """The column in runs of about `most` bytes."""
     sizes, k = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)), 0

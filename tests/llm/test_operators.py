@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("hushline.llm")
@@ -85,6 +86,15 @@ def test_license_rules_and_suppression(spark):
     assert 200 < len(licenses.rules())
 
 
+def test_token_pieces_as_in_whole_texts():
+    odd = [None, "", " ", "\n\n", "J\u030ca, J\u030c. X", "<|STARTOFTEXT|>, <|startoftext|>.", "\u0130. \xc9, \u017f. \xdf. \u0391\u03a3. a..", "don't, it's. 12. 3,4, ., , .", "a\xa0B. c\u3000D, \x00e", "\u01c5. \xaa, \u4e2d. \u4e2d\u6587,", "A.B.C. x,. y.,", "x<|endoftext|>y", "\xe9, e\u0301 a.\u0301 a. \u0301", "rock'n'roll 'tis 's, a's. 'S 'll. x'LL.", "\tA\x0bb.\x0c c\x85d\u2028e."]
+    encoder = tokens.Encoder(tokens.default_tokenizer(), keep=40)
+    ids, counts = encoder.texts(pa.array(odd, pa.string()).fill_null(""))
+    want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in odd]
+    assert (ids.tolist(), counts.tolist()) == (sum(want, []), [len(w) for w in want])
+    assert [len(x) for x in encoder.texts(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_token_files(docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
