@@ -12,17 +12,20 @@ from hushline.operators.windows import BUDGET, causal_windows, token_count
 from hushline.plans import timeline as _timeline  # noqa: F401  (registers its plans)
 from hushline.plans.dialect import DUCK, SPARK
 from hushline.plans.queries import PLANS, turns
-from hushline.session import ship
+from hushline.session import shared_path, ship
+from hushline.sources import transcripts
+from hushline.streaming.windows import windows
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 FLAGSHIP = "windows_by_budget"
 
-_WINDOWS = f"""
+_FOLD = f"""
 WITH RECURSIVE l AS (SELECT conv_id, line_no, length(text) - length(replace(text, ' ', '')) + 1 AS tokens FROM {turns(DUCK)} t),
 w AS (SELECT conv_id, line_no, tokens AS used, 0 AS window_id FROM l WHERE line_no = 1 UNION ALL
 SELECT l.conv_id, l.line_no, CASE WHEN w.used > 0 AND w.used + l.tokens > {BUDGET} THEN l.tokens ELSE w.used + l.tokens END, w.window_id + CASE WHEN w.used > 0 AND w.used + l.tokens > {BUDGET} THEN 1 ELSE 0 END FROM w JOIN l ON l.conv_id = w.conv_id AND l.line_no = w.line_no + 1)
-SELECT conv_id, window_id, count(*) AS lines, min(line_no) AS first_line FROM w GROUP BY conv_id, window_id
 """
+_WINDOWS = _FOLD + "SELECT conv_id, window_id, count(*) AS lines, min(line_no) AS first_line FROM w GROUP BY conv_id, window_id"
+_STREAMED = _FOLD + "SELECT conv_id, window_id, count(*) AS lines, min(line_no) AS first_line, max(used) AS tokens FROM w WHERE window_id < (SELECT max(window_id) FROM w x WHERE x.conv_id = w.conv_id) GROUP BY conv_id, window_id"
 
 
 def run_plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +63,34 @@ def sealed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("conv_id", "turn", F.length("plain").cast("long").alias("plaintext_bytes"), F.length("sealed").cast("long").alias("sealed_bytes"), F.sha2("plain", 256).alias("plaintext_sha256"), *[c.alias(n) for n, c in tries.items()])
 
 
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows by budget over conversations as a stream that has not ended: the last window of each stays open."""
+    source = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    lines = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/conversations.parque[t]")  # a pattern may name a folder or one file
+    own = lines.select("conv_id", (F.col("turn") + 1).cast("int").alias("line_no"), token_count(F.replace("text", F.lit("\n"), F.lit(" "))).alias("tokens"), F.lit(False).alias("last"))
+    path = shared_path(spark, "windows")
+    query = windows(own).writeStream.format("parquet").option("checkpointLocation", shared_path(spark, "windows-state")).trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return spark.read.parquet(path).select("conv_id", "window_id", F.size("lines").cast("long").alias("lines"), F.element_at("lines", 1).alias("first_line"), F.col("tokens").cast("long").alias("tokens"))
+
+
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSON lines, {turns} of objects or bare pairs by id, and loaded again."""
+    turns_ = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    objects = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("speaker"), x["text"].alias("text"))).alias("turns")))
+    pairs = F.to_json(F.transform("t", lambda x: F.array(x["role"], x["text"])))
+    path = shared_path(spark, "records")
+    turns_.select(F.when(F.col("conv_id") % 2 == 0, objects).otherwise(pairs).alias("value")).write.text(path + ".jsonl")
+    return transcripts.load_records(spark, path + ".jsonl").groupBy("n", "speaker", "text").agg(F.count("*").alias("records"))
+
+
+_FILES = "SELECT n, role AS speaker, text, count(*) AS records FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY n, role, text"
 _SEALED = "SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS plaintext_bytes, CAST(strlen(text) + 28 AS BIGINT) AS sealed_bytes, sha256(text) AS plaintext_sha256, true AS opens, true AS wrong_aad_fails, true AS flipped_fails FROM conversations"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: windows_by_budget, "payload_validation": payload_validation, "sealed_tracks": sealed_tracks} | {name: lambda spark, sf_dir, name=name: run_plan(spark, sf_dir, name) for name in PLANS}
+    return {FLAGSHIP: windows_by_budget, "payload_validation": payload_validation, "sealed_tracks": sealed_tracks, "streamed_windows": streamed_windows, "transcript_files": transcript_files} | {name: lambda spark, sf_dir, name=name: run_plan(spark, sf_dir, name) for name in PLANS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {FLAGSHIP: _WINDOWS, "sealed_tracks": _SEALED} | {name: build(DUCK) for name, build in PLANS.items()}
+    return {FLAGSHIP: _WINDOWS, "sealed_tracks": _SEALED, "streamed_windows": _STREAMED, "transcript_files": _FILES} | {name: build(DUCK) for name, build in PLANS.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,3 +35,12 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(path))
         _shipped.add(app)
     return spark
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder that the cluster names; in one of our own only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
