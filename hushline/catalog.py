@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushline.functions import envelope, payloads
+from hushline.operators.causal import Models, causal_loop
 from hushline.operators.windows import BUDGET, causal_windows, token_count
 from hushline.plans import timeline as _timeline  # noqa: F401  (registers its plans)
 from hushline.plans.dialect import DUCK, SPARK
@@ -84,13 +87,39 @@ def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.load_records(spark, path + ".jsonl").groupBy("n", "speaker", "text").agg(F.count("*").alias("records"))
 
 
+def stand_ins() -> Models:
+    """Models for fixtures: a fact per window, digits masked line by line, letters counted."""
+
+    def infer(window: str, profile: str) -> str:
+        return '[{"speaker": "speaker_a", "attribute": "identity", "guess": "begins at line ' + window.split(":")[0] + '"}]'
+
+    def rewrite(window: str, profile: str, examples: str) -> str:
+        parts = [line.split(": ", 1) for line in window.split("\n")]
+        return "\n".join(f"edit {n} {re.sub('[0-9]', '#', said)}" for n, said in parts)
+
+    def embed(texts: list[str]) -> np.ndarray:
+        v = np.array([np.bincount(np.frombuffer(t.lower().encode(), np.uint8), minlength=256)[97:123] for t in texts], float) + 1e-9
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    return Models(infer, rewrite, embed)
+
+
+def causal_rewriting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The causal loop over every conversation with stand-in models: lines as rewritten, and the facts known by then."""
+    text = F.replace("text", F.lit("\n"), F.lit(" "))
+    lines = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", (F.col("turn") + 1).alias("line_no"), F.concat(F.lit("speaker_"), F.substring("role", 1, 1)).alias("speaker"), text.alias("text"), token_count(text).alias("tokens"))
+    done = causal_loop(lines, stand_ins)
+    return done.select("conv_id", "window_id", F.size("facts").cast("long").alias("facts"), F.size("errors").cast("long").alias("errors"), F.explode("lines").alias("l")).select("conv_id", "window_id", "facts", "errors", "l.line_no", "l.after")
+
+
+_CAUSAL = _FOLD + "SELECT w.conv_id, w.window_id, CAST(1 AS BIGINT) AS facts, CAST(0 AS BIGINT) AS errors, w.line_no, concat(t.speaker, ': ', trim(regexp_replace(t.text, '[0-9]', '#', 'g'))) AS after FROM w JOIN " + turns(DUCK) + " t ON t.conv_id = w.conv_id AND t.line_no = w.line_no"
 _FILES = "SELECT n, role AS speaker, text, count(*) AS records FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY n, role, text"
 _SEALED = "SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS plaintext_bytes, CAST(strlen(text) + 28 AS BIGINT) AS sealed_bytes, sha256(text) AS plaintext_sha256, true AS opens, true AS wrong_aad_fails, true AS flipped_fails FROM conversations"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: windows_by_budget, "payload_validation": payload_validation, "sealed_tracks": sealed_tracks, "streamed_windows": streamed_windows, "transcript_files": transcript_files} | {name: lambda spark, sf_dir, name=name: run_plan(spark, sf_dir, name) for name in PLANS}
+    return {FLAGSHIP: windows_by_budget, "payload_validation": payload_validation, "sealed_tracks": sealed_tracks, "streamed_windows": streamed_windows, "causal_rewriting": causal_rewriting, "transcript_files": transcript_files} | {name: lambda spark, sf_dir, name=name: run_plan(spark, sf_dir, name) for name in PLANS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {FLAGSHIP: _WINDOWS, "sealed_tracks": _SEALED, "streamed_windows": _STREAMED, "transcript_files": _FILES} | {name: build(DUCK) for name, build in PLANS.items()}
+    return {FLAGSHIP: _WINDOWS, "sealed_tracks": _SEALED, "streamed_windows": _STREAMED, "causal_rewriting": _CAUSAL, "transcript_files": _FILES} | {name: build(DUCK) for name, build in PLANS.items()}
