@@ -189,3 +189,33 @@ def unknown_keys(d):
 def run_filter(d):
     """The rows of one seed, and the whole pool under the base seed."""
     return f"SELECT 1 AS seed, event_id, value FROM {d.table('events')} WHERE user_id % 4 = 1 UNION ALL SELECT 0, event_id, value FROM {d.table('events')}"
+
+
+# Routing and layout
+@plan
+def activity_routes(d):
+    """Frames without a speaker are skipped, one speaker's run passes whole, runs of several are cut at three frames and separated."""
+    islands = f"(SELECT stream, slots, n, min(frame) AS first, max(frame) AS last FROM (SELECT *, frame - row_number() OVER (PARTITION BY stream, slots ORDER BY frame) AS island FROM {slot_sets(d)} s) i GROUP BY stream, slots, n, island)"
+    return f"SELECT stream, slots, CASE WHEN n = 1 THEN 'pass' ELSE 'separate' END AS route, first + size * k AS piece_first, least(last, first + size * k + size - 1) AS piece_last FROM (SELECT r.*, k FROM (SELECT *, CASE WHEN n = 1 THEN last - first + 1 ELSE 3 END AS size FROM {islands} w) r {d.explode_range('0', 'CAST(floor((last - first) / size) AS BIGINT)', 'k')}) p"
+
+
+@plan
+def track_layout(d):
+    """A track is written in order: silence up to a piece's start, then what of it lies after the cursor, and silence to the end."""
+    piece = f"(SELECT stream, slot, first, greatest(0, first * 4 - 2) AS start, last * 4 + 6 AS stop FROM {runs(d, active(d, 0.7))} r)"
+    return f"""SELECT stream, slot, start, greatest(0, start - cursor) AS silence, greatest(0, stop - greatest(start, cursor)) AS kept, CASE WHEN later IS NULL THEN greatest(0, 4000 - greatest(stop, cursor)) ELSE 0 END AS silence_after FROM
+(SELECT *, coalesce(max(stop) OVER (PARTITION BY stream, slot ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor, lead(first) OVER (PARTITION BY stream, slot ORDER BY first) AS later FROM {piece} p) c"""
+
+
+@plan
+def forced_blocks(d):
+    """Fixed blocks of 50 frames whatever the activity; a single forced speaker is passed, more are separated."""
+    return f"SELECT stream, CAST(floor(frame / 50) AS BIGINT) AS block, min(frame) AS first, max(frame) AS last, CASE WHEN stream % 2 = 0 THEN 'pass' ELSE 'separate' END AS route FROM {frames(d)} f GROUP BY stream, CAST(floor(frame / 50) AS BIGINT)"
+
+
+@plan
+def profile_bootstrap(d):
+    """Speakers without a profile take the one that a fingerprint or elimination match gave; others keep theirs."""
+    return f"""SELECT s.s_suppkey, coalesce(p.own, m.matched) AS profile, p.own IS NULL AND m.matched IS NOT NULL AS filled FROM {d.table('supplier')} s
+LEFT JOIN (SELECT vec_id AS k, label AS own FROM {d.table('embeddings')} WHERE vec_id % 2 = 0) p ON p.k = s.s_suppkey
+LEFT JOIN (SELECT vec_id AS k, label AS matched FROM {d.table('embeddings')} WHERE label % 3 < 2) m ON m.k = s.s_suppkey"""

@@ -2,6 +2,10 @@
 
 import json
 
+import numpy as np
+import pytest
+
+from hushline.streaming.control import controlled, profiles
 from hushline.streaming.tail import TailSource, complete_lines
 from hushline.streaming.windows import advance, windows
 
@@ -50,3 +54,30 @@ def test_tail(spark, tmp_path):
     with p.open("a") as f:
         f.write(' 3}\nbroken\n{"a": 4}\n')
     assert drain() == [1, 2, 3]
+
+
+def run_batches(spark, folder, shape, make, *batches):
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        query = make(spark.readStream.schema(shape).parquet(str(folder / "in"))).writeStream.format("parquet").option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start(str(folder / "o"))
+        query.awaitTermination(120)
+    return spark.read.parquet(str(folder / "o")).orderBy("seq").collect()
+
+
+def test_controller(spark, tmp_path):
+    with pytest.raises(ValueError, match="watermark"):
+        controlled(spark.range(1), "id", 2, 2, 1.0)
+    got = run_batches(spark, tmp_path, "q string, seq long, depth int, age double", lambda s: controlled(s, "q", 5, 2, 60.0), [("a", 2, 6, None), ("a", 1, 5, 59.0)], [("a", 3, 2, 1.0), ("a", 4, 1, 60.0), ("a", 5, 1, None), ("a", 6, 0, 60.0)])
+    assert [(r.state, r.reason) for r in got] == [("background", None), ("promoted", "high_watermark"), ("promoted", None), ("promoted", None), ("background", "low_watermark"), ("promoted", "timeout")]
+
+
+def test_profiles(spark, tmp_path):
+    def embed(x):
+        return np.array([float(x.mean()), 1.0]) if x.any() else None
+
+    def speech(seq, value, n, last=False):
+        return ("s", seq, [float(value)] * n, last)
+
+    got = run_batches(spark, tmp_path, "who string, seq long, samples array<float>, last boolean", lambda s: profiles(s, "who", embed, 1.0), [speech(1, 1, 10_000)], [speech(2, 1, 6_000), speech(3, 0, 16_000), speech(4, 4, 8_000, True), speech(5, 4, 10, True)])
+    assert [(r.seq, r.seconds) for r in got] == [(2, 1.0), (4, 1.5)]
+    assert np.allclose(got[0].profile, np.array([1, 1]) / 2**0.5) and np.allclose(got[1].profile, np.array([2, 1]) / 5**0.5)
