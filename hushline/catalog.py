@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushline.functions import envelope, payloads
+from hushline.functions import alignment, envelope, payloads
 from hushline.operators.causal import Models, causal_loop
+from hushline.operators.matching import matched
 from hushline.operators.windows import BUDGET, causal_windows, token_count
 from hushline.plans import timeline as _timeline  # noqa: F401  (registers its plans)
 from hushline.plans.dialect import DUCK, SPARK
@@ -112,13 +113,28 @@ def causal_rewriting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "window_id", F.size("facts").cast("long").alias("facts"), F.size("errors").cast("long").alias("errors"), F.explode("lines").alias("l")).select("conv_id", "window_id", "facts", "errors", "l.line_no", "l.after")
 
 
+def retimed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a word each third of a second, re-timed after their digits are masked and every seventh word is dropped."""
+    parts = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    timed = F.transform(parts, lambda w, k: F.struct(w.alias("word"), (k / 3).alias("start"), ((k + 1) / 3).alias("stop")))
+    said = F.array_join(F.filter(parts, lambda w, k: k % 7 != 6), " ")
+    turns_ = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), timed.alias("words"), F.regexp_replace(said, "[0-9]", "#").alias("text"), F.lit(0.0).alias("start"), (F.size(parts) / 3).alias("stop"))
+    return alignment.retimed_lines(turns_, "turn_id").select("turn_id", F.posexplode("words").alias("place", "w")).select("turn_id", "place", "w.*")
+
+
+def channel_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user: three channels against three speakers, with mean event values as similarities; pairs without events are unknown."""
+    e = ship(spark).read.parquet(f"{sf_dir}/events.parquet").select("user_id", (F.col("event_id") % 3).alias("channel"), F.concat(F.lit("speaker_"), F.substring("event_type", 1, 1)).alias("speaker"), (F.col("value") / 100).alias("x"))
+    return matched(e.groupBy("user_id", "channel", "speaker").agg(F.round(F.avg("x"), 6).alias("similarity")), "user_id", 0.1)
+
+
 _CAUSAL = _FOLD + "SELECT w.conv_id, w.window_id, CAST(1 AS BIGINT) AS facts, CAST(0 AS BIGINT) AS errors, w.line_no, concat(t.speaker, ': ', trim(regexp_replace(t.text, '[0-9]', '#', 'g'))) AS after FROM w JOIN " + turns(DUCK) + " t ON t.conv_id = w.conv_id AND t.line_no = w.line_no"
 _FILES = "SELECT n, role AS speaker, text, count(*) AS records FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY n, role, text"
 _SEALED = "SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS plaintext_bytes, CAST(strlen(text) + 28 AS BIGINT) AS sealed_bytes, sha256(text) AS plaintext_sha256, true AS opens, true AS wrong_aad_fails, true AS flipped_fails FROM conversations"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: windows_by_budget, "payload_validation": payload_validation, "sealed_tracks": sealed_tracks, "streamed_windows": streamed_windows, "causal_rewriting": causal_rewriting, "transcript_files": transcript_files} | {name: lambda spark, sf_dir, name=name: run_plan(spark, sf_dir, name) for name in PLANS}
+    return {FLAGSHIP: windows_by_budget, "payload_validation": payload_validation, "sealed_tracks": sealed_tracks, "streamed_windows": streamed_windows, "causal_rewriting": causal_rewriting, "retimed_turns": retimed_turns, "channel_matching": channel_matching, "transcript_files": transcript_files} | {name: lambda spark, sf_dir, name=name: run_plan(spark, sf_dir, name) for name in PLANS}
 
 
 def oracle_sql() -> dict[str, str]:
