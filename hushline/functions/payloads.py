@@ -7,6 +7,7 @@ de-duplication are DataFrame functions over the records, so their rules stay vis
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 import pyarrow as pa
@@ -20,11 +21,15 @@ NO_INFERENCE = r"(?i)^(\[\s*\]|none(\b|;)|no (new|additional|stable|reliable|pro
 GENERIC = r"(?i)^(something|someone|somebody|a person|a name|name here|placeholder( here)?|insert .+ here|unknown|not specified)$"
 MOST_RECORDS, MOST_CHARS = 100, 1000
 
+LITERALS = {"true": "true", "True": "true", "false": "false", "False": "false", "null": "null", "None": "null"}
+WORD, QUOTE_END = re.compile(r"[^,:\[\]{}\"\n]+"), re.compile(r"'(?=\s*(?:[:,\]}]|\Z))")
+
 
 def mended(text: str) -> str:
     """One JSON value at the start of text, made whole: what follows it goes, open ends are closed.
 
     Trailing commas go, a key without a value gets null, brackets close in the order they opened.
+    Single quotes become double ones; a bare word is a literal, else a string.
     """
     out, stack, quoted, k = [], [], False, 0
     while k < len(text):
@@ -42,6 +47,15 @@ def mended(text: str) -> str:
             out.append(stack.pop())
             if not stack:
                 break
+        elif c == "'":
+            end = QUOTE_END.search(text, k + 1)
+            stop = end.start() if end else len(text)
+            out.append(json.dumps(text[k + 1 : stop].replace("\\'", "'"), ensure_ascii=False))
+            k = stop
+        elif (c.isalpha() or c == "_") and not (text[k - 1 : k].isalnum() or text[k - 1 : k] in (".", "+", "-")):
+            word = WORD.match(text, k)[0]
+            out.append(LITERALS.get(word.strip()) or json.dumps(word.strip(), ensure_ascii=False))
+            k += len(word) - 1
         else:
             quoted = c == '"'
             if c in "[{":

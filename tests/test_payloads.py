@@ -51,3 +51,9 @@ def test_first_failing_check_is_the_reason(spark):
 def test_query_reasons(spark):
     got = catalog.queries()["payload_validation"](spark, "/root/testdata/sf0.001").groupBy("reason").count().collect()
     assert {"duplicate", "unknown attribute", None} <= {r.reason for r in got}
+
+
+def test_single_quotes_and_bare_words():
+    assert payloads.recover("x {'speaker': 'it's me', ok: True, n: 1e5, 'w': None, v: two words,}") == ({"speaker": "it's me", "ok": True, "n": 1e5, "w": None, "v": "two words"}, "repaired")
+    assert payloads.recover('[{guess: "don\'t", \'lines\': [1, 2]') == ([{"guess": "don't", "lines": [1, 2]}], "repaired")
+    assert payloads.recover("see [note] and {sic}") == (None, "malformed")
