@@ -43,7 +43,7 @@ def _valid(kind: F.Column, hit: F.Column) -> F.Column:
 def mentions(docs: DataFrame) -> DataFrame:
     """(doc_id, _hash, kind, start, end, hit, context) of every valid match; kind `value` for candidates.
 
-    Places are in code points. Only texts with a digit or an at sign are looked at. Rows with equal
+    A candidate that overlaps a base match is the same occurrence seen twice, and is left out. Places are in code points. Only texts with a digit or an at sign are looked at. Rows with equal
     doc_id and text share their mentions. The text between matches is reduced to its length and
     last characters before it is dealt out.
     """
@@ -60,7 +60,12 @@ def mentions(docs: DataFrame) -> DataFrame:
     placed = cells.withColumn("end", F.sum("n").over(w)).withColumn("tail", F.lag("tail").over(w)).where("hit IS NOT NULL")
     words = F.filter(F.split(F.lower("tail"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     context = F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
-    return placed.where(_valid(F.col("kind"), F.col("hit"))).select("doc_id", "_hash", "kind", (F.col("end") - F.col("n")).alias("start"), "end", "hit", context.alias("context"))
+    valid = placed.where(_valid(F.col("kind"), F.col("hit"))).select("doc_id", "_hash", "kind", (F.col("end") - F.col("n")).alias("start"), "end", "hit", context.alias("context"))
+    by, base = Window.partitionBy("doc_id", "_hash"), F.col("kind") != "value"
+    reach = F.max(F.when(base, F.col("end"))).over(by.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))  # of base matches that start here or before
+    following = F.min(F.when(base, F.col("start"))).over(by.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))  # of those that start here or after
+    marked = valid.select("*", reach.alias("_reach"), following.alias("_next"))
+    return marked.where(base | (F.coalesce(F.col("_reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("_next") >= F.col("end"), F.lit(True)))).drop("_reach", "_next")
 
 
 def discover(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +79,7 @@ def discover(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDE
     totals = edges.groupBy("context").agg(F.sum("n").alias("total"))
     seeds = edges.where("kind <> 'value'").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
     known, patterns = seeds, None
-    occurrences = edges.groupBy("context", "value").agg(F.max("n").alias("n"))
+    occurrences = edges.groupBy("context", "value").agg(F.sum("n").alias("n"))
     for _ in range(rounds):
         backed = occurrences.join(known, "value").groupBy("kind", "context").agg(F.sum(F.col("n") * F.col("score")).alias("backed"), F.count("*").alias("values")).where(F.col("values") >= support)
         patterns = cut(backed.join(totals, "context").select("kind", "context", (F.col("backed") / (F.col("total") + 1)).alias("confidence")).where(F.col("confidence") >= confidence))

@@ -258,3 +258,25 @@ def test_sainte_lague():
         w = [RND.choice([0, 1, 5, 7.5, 100]) * RND.random() for _ in range(RND.randint(1, 8))]
         n = RND.randint(0, 60)
         assert mixing.sainte_lague(w, n) == (plain(w, n) if sum(w) else [0] * len(w))
+
+
+@pytest.mark.parametrize(
+    ("kind", "seed", "unknown"),
+    [("email", "user{}@mail.example.", "bob@localhost"), ("ip", "10.0.3.{}", "10.0.3.999"), ("phone", "+1-555-010-10{}", "555-0199"), ("card", "{}", "4111111111111112")],
+)
+def test_personal_data_discovers_beside_every_kind(spark, kind, seed, unknown):
+    def card(k):
+        body = f"41111111111110{k}"
+        return next(body + str(c) for c in range(10) if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(body + str(c)))) % 10 == 0)
+
+    texts = [f"{prose(4)} write me at {seed.format(card(k) if kind == 'card' else k)} {prose(4)}" for k in range(10, 22)] + [f"write me at {unknown} today", f"nothing near {unknown}x here"]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k][f"n_{kind}"] for k in range(14)] == [1] * 12 + [0, 0]
+    assert [got[k].spans for k in (12, 13)] == [f"{kind}:12:{12 + len(unknown)}", ""]
+
+
+def test_personal_data_candidates_overlap_no_base_match(spark):
+    text = "a@b.cd. x@y 1.2.3.4 +1 (555) 010-1000 and 555-0100"
+    found = pii.mentions(spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")).collect()
+    assert sorted((r.start, r.hit, r.kind) for r in found if r.doc_id == 1) == [(0, "a@b.cd", "email"), (12, "1.2.3.4", "ip"), (20, "+1 (555) 010-1000", "phone"), (42, "555-0100", "value")]
+    assert len(found) == 8
