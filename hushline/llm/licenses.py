@@ -17,9 +17,10 @@ from .common import text_of
 #: The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: License families: label, keyword, name as a regex over words, versions (None: unversioned).
+#: License families: label, keyword (a word of every match of the name), name as a regex over words, versions (None: unversioned).
 FAMILIES = (
-    ("mit", "mit", "(?:mit|expat)", (None,)),
+    ("mit", "mit", "mit", (None,)),
+    ("mit", "expat", "expat", (None,)),
     ("apache", "apache", "apache(?: software)?", (None, "1 0", "1 1", "2", "2 0")),
     ("gpl", "general", "(?:gnu )?general public", (None, "1", "2", "2 0", "3", "3 0")),
     ("gpl", "gpl", "(?:gnu )?gpl", (None, "2", "2 0", "3", "3 0")),
@@ -42,8 +43,10 @@ FAMILIES = (
     ("odbl", "database", "open database", (None, "1 0")),
     ("ms-pl", "microsoft", "microsoft public", (None,)),
     ("upl", "universal", "universal permissive", (None, "1 0")),
-    ("cc-by", "by", "(?:creative commons|cc)(?: attribution| by)", (None, "2 0", "3 0", "4 0")),
-    ("cc-by-sa", "sa", "(?:creative commons attribution sharealike|cc by sa)", (None, "3 0", "4 0")),
+    ("cc-by", "creative", "creative commons(?: attribution| by)", (None, "2 0", "3 0", "4 0")),
+    ("cc-by", "cc", "cc(?: attribution| by)", (None, "2 0", "3 0", "4 0")),
+    ("cc-by-sa", "sharealike", "creative commons attribution sharealike", (None, "3 0", "4 0")),
+    ("cc-by-sa", "sa", "cc by sa", (None, "3 0", "4 0")),
     ("cc-by-nc", "nc", "cc by nc", (None, "3 0", "4 0")),
     ("cc-by-nc-sa", "sa", "cc by nc sa", (None, "3 0", "4 0")),
     ("cc-by-nc-nd", "nd", "cc by nc nd", (None, "3 0", "4 0")),

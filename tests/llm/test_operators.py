@@ -280,3 +280,43 @@ def test_personal_data_candidates_overlap_no_base_match(spark):
     found = pii.mentions(spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")).collect()
     assert sorted((r.start, r.hit, r.kind) for r in found if r.doc_id == 1) == [(0, "a@b.cd", "email"), (12, "1.2.3.4", "ip"), (20, "+1 (555) 010-1000", "phone"), (42, "555-0100", "value")]
     assert len(found) == 8
+
+
+def matches(regex):
+    """Some matches of a rule's regex: each alternative of its name at least once, the rest at random."""
+    from re import _parser as parser
+
+    def one(parsed, rnd):
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += chr(rnd.choice([x for o, x in arg if str(o) == "LITERAL"]))
+            elif name == "BRANCH":
+                out += one(rnd.choice(arg[1]), rnd)
+            elif name == "SUBPATTERN":
+                out += one(arg[3], rnd)
+            elif name == "MAX_REPEAT":
+                out += one(arg[2], rnd) * rnd.randint(arg[0], arg[1])
+            else:
+                raise ValueError(name)
+        return out
+
+    rnd = random.Random(regex)
+    return {one(parser.parse(regex), rnd) for _ in range(40)}
+
+
+def test_every_license_rule_meets_its_own_matches(spark):
+    cases = [(label, text) for _, _, regex, label, _, _ in licenses.rules() for text in sorted(matches(regex))]
+    assert all(re.fullmatch(regex, text) and keyword in text.split() for keyword, _, regex, _, _, _ in licenses.rules() for text in matches(regex))
+    df = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.license_scan(df).collect()}
+    assert [(label, text, got[k]) for k, (label, text) in enumerate(cases) if label not in got[k]] == []
+
+
+def test_license_names_without_the_label_as_a_word(spark):
+    texts = ["Creative Commons Attribution license 4.0", "creative commons attribution sharealike license", "released under the Expat license", "CC Attribution license"]
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "cc-by-4", 1: "cc-by-sa", 2: "mit", 3: "cc-by"}
