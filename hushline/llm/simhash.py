@@ -58,9 +58,9 @@ def _add_fingerprints(shingle: int):
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long): one row per row of docs."""
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(_add_fingerprints(shingle), T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns named in `also`, fp long): one row per row of docs."""
+    return docs.select("doc_id", *also, text_of().alias("text")).mapInArrow(_add_fingerprints(shingle), T.StructType([*[docs.schema[c] for c in ("doc_id", *also)], T.StructField("fp", T.LongType())]))
 
 
 def masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
@@ -89,6 +89,12 @@ def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     return near.unionByName(hubs)
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """distinct (fp, ...) with the root of each fingerprint's component."""
+    found = components(links(distinct.select("fp")))
+    return distinct.join(found, distinct.fp == found.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, fingerprint, component_id), one row per row of docs.
 
@@ -101,20 +107,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     own = cut(fingerprints(docs, shingle))
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.select("fp")))
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(distinct)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; columns unchanged.
+    """docs with one row of each component, the one with the smallest doc_id; columns unchanged.
 
-    Rows that repeat a kept doc_id are reduced to one, the first by text.
+    Null doc_ids come last; rows with equal doc_id go by a hash of the text, equal rows by their JSON.
+    A row counts by its own text: a repeated doc_id stays once for each component that it leads.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    twice = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    again = kept.join(twice, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_rank = 1").drop("_rank")
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again)
+    from .common import cut
+
+    own = cut(fingerprints(docs.withColumn("_hash", F.xxhash64(text_of())), also=("_hash",)))
+    copies = own.groupBy("fp", "doc_id", "_hash").agg(F.count("*").alias("n"))
+    distinct = cut(copies.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "n")).alias("first")))
+    keep = cut(_rooted(distinct).groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_h"), "k.n"))
+    rows = docs.withColumn("_hash", F.xxhash64(text_of()))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    once, more = (rows.join(keep.where(n), same, "left_semi") for n in ("n = 1", "n > 1"))
+    w = Window.partitionBy("doc_id", "_hash").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    return once.unionByName(more.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")).drop("_hash")

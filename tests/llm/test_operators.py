@@ -320,3 +320,20 @@ def test_license_names_without_the_label_as_a_word(spark):
     texts = ["Creative Commons Attribution license 4.0", "creative commons attribution sharealike license", "released under the Expat license", "CC Attribution license"]
     got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: "cc-by-4", 1: "cc-by-sa", 2: "mit", 3: "cc-by"}
+
+
+def test_one_row_of_each_component(spark):
+    a, b, c, d, e = (prose(80) for _ in range(5))
+    given = [(3, b), (5, a), (5, b), (None, c), (None, d), (None, d), (7, e), (7, e), (None, e), (9, b), (None, None), (None, ""), (4, a)]
+    df = spark.createDataFrame([(k, t, f"s{n}") for n, (k, t) in enumerate(given)], "doc_id long, text string, source string").repartition(3)
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(((k, t or "") for k, t in found), key=str) == sorted([(3, b), (4, a), (None, c), (None, d), (7, e), (None, "")], key=str)
+
+
+def test_one_row_of_each_where_a_repeated_id_leads_two_components(spark):
+    a, b = prose(80), prose(80)
+    df = spark.createDataFrame([(3, b), (5, a), (5, b), (6, b)], "doc_id long, text string")
+    assert sorted(simhash.one_of_each(df).collect()) == [(3, b), (5, a)]
+    assert sorted(simhash.one_of_each(df.where("doc_id <> 3")).collect()) == sorted([(5, a), (5, b)])
