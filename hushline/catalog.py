@@ -45,9 +45,10 @@ def windows_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records out of payloads in prose, with a citation before them, one cut off or malformed by turn; each with its verdict."""
-    quoted = F.regexp_replace("text", r'[\\\\"]|[\\x00-\\x1f]', " ")
-    record = F.concat(F.lit('{"speaker": "Speaker '), F.substring("role", 1, 1), F.lit('", "attribute": "'), F.when(F.col("turn") % 4 == 3, "mood").otherwise("identity"), F.lit('", "guess": "'), F.substring(quoted, 1, 40), F.lit('"'))
+    """Records out of payloads in prose, with a citation before them, one cut off or malformed by turn; each whole turn is a guess with its verdict."""
+    held = F.to_json(F.struct(F.col("text").alias("guess")))  # {"guess":"..."}: the whole text as a JSON string
+    quoted = F.when(F.col("text").isNotNull(), held.substr(F.lit(10), F.length(held) - 10))
+    record = F.concat(F.lit('{"speaker": "Speaker '), F.substring("role", 1, 1), F.lit('", "attribute": "'), F.when(F.col("turn") % 4 == 3, "mood").otherwise("identity"), F.lit('", "guess": '), quoted)
     text = F.concat(F.lit("As line [1] says: ["), record, F.lit("}, "), record, F.when(F.col("turn") % 2 == 0, F.lit("},]")).otherwise(F.lit("")))
     turns_ = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), text.alias("payload"))
     return payloads.validated(payloads.recovered(turns_, "turn_id", "payload"), "turn_id")
