@@ -1,11 +1,13 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Documents are dealt to buckets. A bucket's n-grams, orders 1 to 3, are exploded to 64-bit hashes
-and pre-aggregated; rows (hash range, bucket, block of ascending hashes with counts) go to the
-count tables, which are partitioned by hash range. A range adds up the counts and joins them back
-to each bucket's block; the bucket looks its n-grams up again and sums the scores per document.
-Nothing is collected: what travels grows with the input's n-grams, and a frequent n-gram is one
-entry per bucket.
+Texts are kept in slabs. A slab's n-grams, orders 1 to 3, are exploded to 64-bit hashes and
+pre-aggregated; rows (hash range, slab, blocks of ascending hashes with counts, a block per order)
+go to the count tables, which are partitioned by hash range. A range adds up the counts and joins
+them back to each slab's blocks; the slab looks its n-grams up again and sums the scores per
+document. Nothing is collected, and a frequent n-gram is one entry per slab.
+
+Slabs and ranges are both sized by bytes, so that a task holds as much at any scale. A slab sends
+one row to a range at most: rows in all are slabs times ranges, or fewer where n-grams are few.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, text_of
-from .mixing import word_count
 from .packing import mixed, pack, unpack
+from .slabs import dealt, read_table, slabs
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
-#: N-grams of two words and more are keyed by 56 bits: another's count is added to one in 2^56/distinct of them.
-_KEY = np.uint64(0xFFFFFFFFFFFFFF00)
+#: Bytes of text whose n-grams make a range of the count tables: a few million entries.
+RANGE_BYTES = 24 << 20
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[list(b" \t\n\x0b\x0c\r")] = False
 
 
 def _word_hashes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +61,22 @@ def _grams(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.nd
 
 def _tables(table: pa.Table, order: int):
     words, sizes = _word_hashes(table.column("text"))
-    grams = [(h & _KEY if n else h, ok) for n, (h, ok) in enumerate(_grams(words, sizes, order))]
-    return sizes, [(h, ok, *np.unique(h[ok], return_inverse=True)) for h, ok in grams]
+    return sizes, [(h, ok, *np.unique(h[ok], return_inverse=True)) for h, ok in _grams(words, sizes, order)]
+
+
+def count_words(table: pa.Table) -> int:
+    """Words of all texts, counted as places where one begins."""
+    n = 0
+    for texts in table.column("text").chunks:
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if len(texts) and offsets[-1] > offsets[0]:
+            word = _IN_WORD[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+            begins = word.copy()
+            begins[1:] &= ~word[:-1]
+            at = offsets[:-1][np.diff(offsets) > 0] - offsets[0]
+            begins[at] = word[at]
+            n += int(begins.sum())
+    return n
 
 
 def _split(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -68,42 +85,47 @@ def _split(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def _count(order: int, ranges: int):
-    def run(table: pa.Table) -> pa.Table:
-        bucket, rows = table.column("bucket")[0].as_py(), []
-        for n, (_, _, keys, at) in enumerate(_tables(table, order)[1]):
-            counts, cuts = np.bincount(at, minlength=len(keys)).astype(np.uint32), _split(keys, ranges)
-            rows += [(r, bucket, n, pack(keys[a:b], True), pack(counts[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["range", "bucket", "n", "keys", "counts"])
+_BLOCKS, _TOTALS = "range int, slab long, keys array<binary>, counts array<binary>", "slab long, range int, totals array<binary>"
+_MANY = pa.list_(pa.binary())
+
+
+def _count(order: int, ranges: int, folder: str):
+    def run(batches):
+        for b in batches:
+            for slab, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys, counts = [[] for _ in range(ranges)], [[] for _ in range(ranges)]
+                for _, _, ascending, at in _tables(read_table(folder, file, ["text"]), order)[1]:
+                    n, cuts = np.bincount(at, minlength=len(ascending)).astype(np.uint32), _split(ascending, ranges).tolist()
+                    for r, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        keys[r].append(pack(ascending[x:y], True))
+                        counts[r].append(pack(n[x:y]))
+                yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([slab] * ranges, pa.int64()), pa.array(keys, _MANY), pa.array(counts, _MANY)], ["range", "slab", "keys", "counts"])
 
     return run
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """The corpus counts of one range, joined to every bucket's block."""
-    bucket, n, keys, counts = (table.column(c).to_pylist() for c in ("bucket", "n", "keys", "counts"))
-    out: list[bytes | None] = [None] * len(bucket)
-    for order in set(n):
-        mine = [k for k, x in enumerate(n) if x == order]
-        blocks = [unpack(keys[k], np.uint64, True) for k in mine]
+    """The corpus counts of one range, joined to every slab's blocks."""
+    keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
+    out: list[list[bytes]] = [[] for _ in keys]
+    for order in range(len(keys[0])):
+        blocks = [unpack(k[order], np.uint64, True) for k in keys]
         _, at = np.unique(np.concatenate(blocks), return_inverse=True)
-        total = np.bincount(at, np.concatenate([unpack(counts[k], np.uint32) for k in mine])).astype(np.uint64)
-        for k, part in zip(mine, np.split(at, np.cumsum([len(b) for b in blocks])[:-1]), strict=True):
-            out[k] = pack(total[part])
-    return pa.table([table.column("bucket"), table.column("range"), table.column("n"), pa.array(out, pa.binary())], ["bucket", "range", "n", "totals"])
+        total = np.bincount(at, np.concatenate([unpack(c[order], np.uint32) for c in counts])).astype(np.uint64)
+        for k, part in enumerate(np.split(at, np.cumsum([len(b) for b in blocks])[:-1])):
+            out[k].append(pack(total[part]))
+    return pa.table([table.column("slab"), table.column("range"), pa.array(out, _MANY)], ["slab", "range", "totals"])
 
 
-def _score(order: int, backoff: float, least: int, words_in_all: int, id_type: pa.DataType):
-    def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table([pa.array([], id_type), pa.array([], pa.int64()), pa.array([], pa.float64())], ["doc_id", "n_words", "score"])
+def _score(order: int, backoff: float, least: int, words_in_all: int, folder: str):
+    def run(index: pa.Table, totals: pa.Table) -> pa.Table:
+        docs = read_table(folder, index.column("file")[0].as_py())
         sizes, tables = _tables(docs, order)
-        blocks = sorted(zip(totals.column("n").to_pylist(), totals.column("range").to_pylist(), totals.column("totals").to_pylist(), strict=True))
+        blocks = [t for _, t in sorted(zip(totals.column("range").to_pylist(), totals.column("totals").to_pylist(), strict=True))]
         counts = []
         for k, (h, ok, _, at) in enumerate(tables):
-            total = [unpack(b, np.uint64) for n, _, b in blocks if n == k]
             full = np.zeros(len(h))
-            full[ok] = (np.concatenate(total) if total else np.zeros(0, np.uint64))[at]
+            full[ok] = np.concatenate([unpack(t[k], np.uint64) for t in blocks])[at]
             counts.append(full)
         places = len(tables[0][0])
         score = (order - 1) * math.log(backoff) + np.log(np.maximum(counts[0], 1) / max(words_in_all, 1))
@@ -126,16 +148,14 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min
     score sums ln S over the words: S is count(n-gram)/count(context) for the longest order whose
     n-gram occurs `min_count` times or more in the corpus, times `backoff` for each order dropped,
     and count(word)/words at the last. N-grams don't cross documents. Null and empty texts have no
-    words: score 0, mean null. Repeated rows count and score each.
+    words: score 0, mean null. Repeated rows, of null ids too, count and score each; a very long
+    text is a slab of its own. Other columns are ignored. An empty table gives an empty table.
     """
-    rows = docs.count()
-    buckets = buckets_for(rows)
-    words = docs.agg(F.sum(word_count(text_of()))).first()[0] or 0
-    own = docs.select("doc_id", text_of().alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
-    blocks = own.groupBy("bucket").applyInArrow(_count(order, buckets), "range int, bucket int, n int, keys binary, counts binary")
-    totals = blocks.groupBy("range").applyInArrow(_add_up, "bucket int, range int, n int, totals binary")
+    index, folder = slabs(docs, "lm", measure=count_words)
+    size, words = index.agg(F.sum("bytes"), F.sum("measure")).first()
+    ranges = max(1, math.ceil((size or 0) / RANGE_BYTES))
+    blocks = dealt(index.select("slab", "file")).mapInArrow(_count(order, ranges, folder), _BLOCKS)
+    totals = blocks.groupBy("range").applyInArrow(_add_up, _TOTALS)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    scored = own.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(_score(order, backoff, min_count, words, to_arrow_type(docs.schema["doc_id"].dataType)), f"doc_id {kind}, n_words long, score double")
+    scored = index.groupBy("slab").cogroup(totals.groupBy("slab")).applyInArrow(_score(order, backoff, min_count, words or 0, folder), f"doc_id {kind}, n_words long, score double")
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
