@@ -26,7 +26,7 @@ from .slabs import dealt, read_table, slabs
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Bytes of text whose n-grams make a range of the count tables: a few million entries.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 10 << 20
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[list(b" \t\n\x0b\x0c\r")] = False
 
