@@ -5,35 +5,37 @@ Sorting every suffix of a corpus would move it many times over, so the sort is s
 strings have the same anchor at the same offset, so only suffixes that start at anchors (one byte
 in about 33) need sorting, with the 64 bytes before them as left context.
 
-1. A bucket's anchors go to ranges as (hash of the 36 bytes, hash of the whole context, place).
+1. A slab's anchors are found once and kept beside its texts. They go to ranges as (hash of the 36
+   bytes, hash of the whole context, place).
    An anchor whose whole context occurs earlier is repeated in full. One whose 36 bytes occur
    nowhere else is settled, too. Undecided are those that share the 36 bytes with an earlier
    anchor but not the context: the edges of copied passages.
-2. Only those are exchanged as suffixes: each bucket sends sorted, front-coded runs (length of the
+2. Only those are exchanged as suffixes: each slab sends sorted, front-coded runs (length of the
    prefix shared with the one before, and the rest), and a range merges its runs in a loser tree
    that carries longest common prefixes, so that known prefixes are never compared again. The
    merged order with its prefix lengths gives, for each split of 100 bytes into left and right of
    the anchor, the classes of equal strings; all but the earliest of a class are repeated.
-3. Each bucket marks its repeated strings and cuts their bytes out.
+3. Each slab marks its repeated strings and cuts their bytes out.
 
 Hashes have 64 bits; the whole context is compared by 128. A suffix that many documents share is
-one entry per bucket and context.
+one entry per slab and context. Slabs and ranges are both sized by bytes: a slab sends a row to a
+range at most, and a task holds as much at any scale.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import buckets_for, text_of
 from .packing import mixed, pack, unpack
+from .slabs import dealt, read_table, slabs
 
-LENGTH, GRAM, CHUNK_BYTES = 100, 36, 1 << 20
+LENGTH, GRAM, CHUNK_BYTES, RANGE_BYTES = 100, 36, 1 << 20, 24 << 20
 LEFT, PAD = LENGTH - GRAM, 164
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(5).integers(1, 1 << 63, 257, np.uint64) | np.uint64(1)
@@ -104,24 +106,33 @@ def _chunks(texts: list[bytes]):
             first, size = k + 1, 0
 
 
-class Bucket:
-    """A bucket's documents in order, and the anchors to be sent: the earliest of each (gram, context)."""
-
-    def __init__(self, table: pa.Table, ranges: int):
-        rows = sorted(range(table.num_rows), key=(lambda ids, texts: lambda k: (ids[k] is not None, ids[k] or 0, texts[k]))(table.column("doc_id").to_pylist(), texts := table.column("text").cast(pa.binary()).to_pylist()))
-        self.rows, self.texts = rows, [texts[k] for k in rows]
-        self.ids = table.column("doc_id").combine_chunks().take(pa.array(rows, pa.int64()))
-        parts: list[list[np.ndarray]] = [[], [], [], []]
-        for first, chunk in _chunks(self.texts):
-            at, text, gram, context = chunk.anchors()
-            for x, y in zip(parts, (text + first, at - chunk.starts[text], gram, context), strict=True):
-                x.append(y)
-        self.text, self.at, self.gram, self.context = (np.concatenate(x) if x else np.zeros(0, np.uint64 if k > 1 else np.int64) for k, x in enumerate(parts))
-        order = np.lexsort((self.context, self.gram))  # stable: within equals, by place
-        g, c = self.gram[order], self.context[order]
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-        self.sent, self.local = order[new], order[~new]  # the first of each, and those that repeat it here
+def find_anchors(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """A slab's rows in order of (doc_id, text), null ids first, and its anchors: text, at, gram, context, in order of (gram, context, place)."""
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").cast(pa.large_binary()).to_pylist()
+    rows = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k]))
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for first, chunk in _chunks([texts[k] for k in rows]):
+        at, text, gram, context = chunk.anchors()
+        for x, y in zip(parts, (text + first, at - chunk.starts[text], gram, context), strict=True):
+            x.append(y)
+    text, at, gram, context = (np.concatenate(x) if x else np.zeros(0) for x in parts)
+    order = np.lexsort((context, gram))  # stable: within equals, by place
+    columns = [text[order].astype(np.int32), at[order].astype(np.uint32), gram[order].astype(np.uint64), context[order].astype(np.uint64)]
+    return table.take(pa.array(rows, pa.int64())), pa.table([pa.array(c) for c in columns], ["text", "at", "gram", "context"])
+
+
+class Slab:
+    """A slab's documents in order, and the anchors to be sent: the earliest of each (gram, context)."""
+
+    def __init__(self, folder: str, file: str, ranges: int, with_texts: bool = True):
+        table, anchors = read_table(folder, file, None if with_texts else ["doc_id"]), read_table(folder, file + ".side")
+        self.ids = table.column("doc_id").combine_chunks()
+        self.texts = table.column("text").cast(pa.large_binary()).to_pylist() if with_texts else []
+        self.text, self.at, self.gram, self.context = (anchors.column(c).to_numpy() for c in ("text", "at", "gram", "context"))
+        self.at = self.at.astype(np.int64)
+        new = np.ones(len(self.gram), bool)
+        new[1:] = (self.gram[1:] != self.gram[:-1]) | (self.context[1:] != self.context[:-1])
+        self.sent, self.local = np.flatnonzero(new), np.flatnonzero(~new)  # the first of each, and those that repeat it here
         edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
         self.cuts = np.concatenate(([0], np.searchsorted(self.gram[self.sent], edges), [len(self.sent)]))
 
@@ -131,29 +142,31 @@ class Bucket:
         return ids[self.text[entries]], self.at[entries]
 
 
-_BLOCKS = "range int, bucket int, kind int, a binary, b binary, c binary, d binary"
+_BLOCKS = "range int, slab long, kind int, a binary, b binary, c binary, d binary"
 
 
 def _block_table(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], ["range", "bucket", "kind", "a", "b", "c", "d"])
-
-
-def _send_anchors(ranges: int):
-    def run(table: pa.Table) -> pa.Table:
-        b, out = Bucket(table, ranges), []
-        for r, (x, y) in enumerate(zip(b.cuts[:-1].tolist(), b.cuts[1:].tolist(), strict=True)):
-            if y > x:
-                e = b.sent[x:y]
-                ids, at = b.places(e)
-                out.append((r, table.column("bucket")[0].as_py(), 0, pack(b.gram[e], True), pack(b.context[e]), pack(ids), pack(at.astype(np.uint32))))
-        return _block_table(out)
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], ["range", "slab", "kind", "a", "b", "c", "d"])
+
+
+def _send_anchors(ranges: int, folder: str):
+    def run(batches):
+        for batch in batches:
+            for slab, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b, out = Slab(folder, file, ranges, with_texts=False), []
+                for r, (x, y) in enumerate(zip(b.cuts[:-1].tolist(), b.cuts[1:].tolist(), strict=True)):
+                    if y > x:
+                        e = b.sent[x:y]
+                        ids, at = b.places(e)
+                        out.append((r, slab, 0, pack(b.gram[e], True), pack(b.context[e]), pack(ids), pack(at.astype(np.uint32))))
+                yield from _block_table(out).to_batches()
 
     return run
 
 
 def _join_blocks(table: pa.Table, dtypes: tuple, ascending: tuple) -> tuple[list[int], list[np.ndarray], list[int]]:
-    buckets = table.column("bucket").to_pylist()
+    buckets = table.column("slab").to_pylist()
     columns = [[unpack(x, t, up) for x in table.column(c).to_pylist()] for c, t, up in zip("abcd", dtypes, ascending, strict=False)]
     return buckets, [np.concatenate(c) for c in columns], [len(x) for x in columns[0]]
 
@@ -161,7 +174,7 @@ def _join_blocks(table: pa.Table, dtypes: tuple, ascending: tuple) -> tuple[list
 def _decide(table: pa.Table) -> pa.Table:
     """For each block: 1 where the whole context occurs earlier, 2 where it is to be compared, else 0."""
     buckets, (gram, context, doc, at), sizes = _join_blocks(table, (np.uint64, np.uint64, np.int64, np.uint32), (True, False, False, False))
-    order = np.lexsort((at, doc, context, gram))
+    order = np.lexsort((at, np.repeat(buckets, sizes), doc, context, gram))
     g, c = gram[order], context[order]
     new_g, new = np.ones(len(g), bool), np.ones(len(g), bool)
     new_g[1:] = g[1:] != g[:-1]
@@ -174,7 +187,7 @@ def _decide(table: pa.Table) -> pa.Table:
     return _block_table([(r, b, 1, pack(verdict[x:y]), None, None, None) for b, x, y in zip(buckets, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if verdict[x:y].any()])
 
 
-def _verdicts(b: Bucket, told: pa.Table) -> np.ndarray:
+def _verdicts(b: Slab, told: pa.Table) -> np.ndarray:
     out = np.zeros(len(b.sent), np.uint8)
     for r, kind, a in zip(told.column("range").to_pylist(), told.column("kind").to_pylist(), told.column("a").to_pylist(), strict=True):
         if kind == 1:
@@ -277,7 +290,7 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray, bytes]]) -> tuple[list[t
     return out, np.array(prefix, np.int64)
 
 
-def _contexts(b: Bucket, entries: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+def _contexts(b: Slab, entries: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Left context (64 bytes at most) and right context (100 at most) of anchors."""
     left, right = [], []
     for t, a in zip(b.text[entries].tolist(), b.at[entries].tolist(), strict=True):
@@ -287,11 +300,12 @@ def _contexts(b: Bucket, entries: np.ndarray) -> tuple[list[bytes], list[bytes]]
     return left, right
 
 
-def _send_runs(ranges: int):
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        if not docs.num_rows or not told.num_rows:
+def _send_runs(ranges: int, folder: str):
+    def run(index: pa.Table, told: pa.Table) -> pa.Table:
+        if not told.num_rows or not any((unpack(a, np.uint8) == 2).any() for a in told.column("a").to_pylist()):
             return _block_table([])
-        b, out = Bucket(docs, ranges), []
+        slab, out = index.column("slab")[0].as_py(), []
+        b = Slab(folder, index.column("file")[0].as_py(), ranges)
         verdict = _verdicts(b, told)
         for r, (x, y) in enumerate(zip(b.cuts[:-1].tolist(), b.cuts[1:].tolist(), strict=True)):
             entries = x + np.flatnonzero(verdict[x:y] == 2)
@@ -303,7 +317,7 @@ def _send_runs(ranges: int):
             shared, rest, data = front_code([right[k] for k in order])
             lefts = [left[k] for k in order]
             own = np.array([ids, at.astype(np.int64), (entries[order] - x).astype(np.int64)])
-            out.append((r, docs.column("bucket")[0].as_py(), 2, pack(np.stack([shared, rest, np.fromiter(map(len, lefts), np.uint8, len(lefts))]).reshape(-1)), pack(np.frombuffer(data, np.uint8)), pack(np.frombuffer(b"".join(lefts), np.uint8)), pack(own.reshape(-1))))
+            out.append((r, slab, 2, pack(np.stack([shared, rest, np.fromiter(map(len, lefts), np.uint8, len(lefts))]).reshape(-1)), pack(np.frombuffer(data, np.uint8)), pack(np.frombuffer(b"".join(lefts), np.uint8)), pack(own.reshape(-1))))
         return _block_table(out)
 
     return run
@@ -336,7 +350,7 @@ def repeated_splits(prefix: np.ndarray, lefts: list[bytes], rights: np.ndarray,
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    buckets, runs, lefts, places = table.column("bucket").to_pylist(), [], [], []
+    buckets, runs, lefts, places = table.column("slab").to_pylist(), [], [], []
     for a, b, c, d in zip(*(table.column(x).to_pylist() for x in "abcd"), strict=True):
         heads = unpack(a, np.uint8).reshape(3, -1)
         runs.append((heads[0], heads[1], unpack(b, np.uint8).tobytes()))
@@ -349,7 +363,7 @@ def _merge(table: pa.Table) -> pa.Table:
     whole = np.concatenate(places, axis=1)[:, flat]
     lengths = np.concatenate([r[0].astype(np.int64) + r[1] for r in runs])[flat]
     rank = np.empty(len(flat), np.int64)
-    rank[np.lexsort((whole[1], whole[0]))] = np.arange(len(flat))
+    rank[np.lexsort((whole[1], np.array(buckets)[[r for r, _ in order]], whole[0]))] = np.arange(len(flat))
     again = repeated_splits(prefix, [lefts[r][i] for r, i in order], lengths, rank)
     bits, run_of = np.packbits(again, axis=1, bitorder="little"), np.array([r for r, _ in order])
     r = table.column("range")[0].as_py()
@@ -361,12 +375,9 @@ def _merge(table: pa.Table) -> pa.Table:
     return _block_table(out)
 
 
-def _cut(ranges: int, id_type: pa.DataType, texts_too: bool):
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        b = Bucket(docs, ranges) if docs.num_rows else None
-        if b is None:
-            out = [pa.array([], id_type), *[pa.array([], pa.int64())] * 3, pa.array([], pa.string()), pa.array([], pa.binary())]
-            return pa.table(out[: 5 + texts_too], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts_too])
+def _cut(ranges: int, folder: str, texts_too: bool):
+    def run(index: pa.Table, told: pa.Table) -> pa.Table:
+        b = Slab(folder, index.column("file")[0].as_py(), ranges)
         sizes = np.fromiter(map(len, b.texts), np.int64, len(b.texts))
         begins = np.cumsum(sizes) - sizes
         verdict = _verdicts(b, told)
@@ -406,14 +417,15 @@ def without_repeats(docs: DataFrame, texts_too: bool = True) -> DataFrame:
 
     A byte goes if some 100-byte string that covers it also starts earlier in the corpus: in a
     document of smaller doc_id, or earlier in its own. Null texts are empty; nulls come before all
-    ids. Rows that repeat a doc_id lie by their text, and each later one's strings repeat.
+    ids. Rows that repeat a doc_id lie by their text within a slab, and by their slab between
+    slabs; each later one's strings repeat. A very long text is a slab of its own, worked through in
+    one task. Other columns are ignored. An empty table gives an empty table.
     """
-    buckets = buckets_for(docs.count())
-    own = docs.select("doc_id", text_of().alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
-    anchors = own.groupBy("bucket").applyInArrow(_send_anchors(buckets), _BLOCKS)
-    verdicts = anchors.groupBy("range").applyInArrow(_decide, _BLOCKS)
-    runs = own.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(_send_runs(buckets), _BLOCKS)
+    index, folder = slabs(docs, "suffixes", side=find_anchors)
+    ranges = max(1, math.ceil((index.agg(F.sum("bytes")).first()[0] or 0) / RANGE_BYTES))
+    own = index.select("slab", "file")
+    verdicts = dealt(own).mapInArrow(_send_anchors(ranges, folder), _BLOCKS).groupBy("range").applyInArrow(_decide, _BLOCKS)
+    runs = own.groupBy("slab").cogroup(verdicts.groupBy("slab")).applyInArrow(_send_runs(ranges, folder), _BLOCKS)
     splits = runs.groupBy("range").applyInArrow(_merge, _BLOCKS)
-    id_type = docs.schema["doc_id"].dataType
-    schema = f"doc_id {id_type.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts_too
-    return own.groupBy("bucket").cogroup(verdicts.unionByName(splits).groupBy("bucket")).applyInArrow(_cut(buckets, to_arrow_type(id_type), texts_too), schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts_too
+    return own.groupBy("slab").cogroup(verdicts.unionByName(splits).groupBy("slab")).applyInArrow(_cut(ranges, folder, texts_too), schema)
