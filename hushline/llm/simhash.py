@@ -6,10 +6,11 @@ mask holds the positions with odd <m(i), v>. The vectors of r differing position
 the whole space, so some v is orthogonal to all of them: every pair within the radius agrees on
 the mask of at least one of the 2^(r+1)-1 tables. That is a guarantee, not a probability.
 
-Work is done on distinct fingerprints. Buckets of few fingerprints are compared pair by pair.
-Larger buckets go another exact way: fingerprints a, b differ in at most two bits if and only if
-some word is within one bit of both, so each is dealt to the 65 words of its ball and linked to
-the least fingerprint there (a word has 65 such neighbours at most). Nothing is capped.
+Work is done on distinct fingerprints. In a table, those that agree on its mask can differ only in
+its free positions. So each member of a bucket of two or more is dealt to itself and to its words
+with one free position flipped: two of a bucket differ in at most two bits if and only if they meet
+at some word. Those that meet are linked to the least of them (at most 65 can meet). No pairs are
+compared, so a bucket of any size costs as much for each member, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import text_of
+from .common import cut, text_of
 from .components import components
 
-BITS, RADIUS, SHINGLE, SEED, PAIRWISE = 64, 2, 3, 42, 24
+BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -75,18 +76,16 @@ def masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
     return out
 
 
-def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
-    """Distinct fingerprints (fp) -> (u, v) links that connect exactly those within two bits."""
+def links(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) -> (u, v) links within two bits that connect all those within two bits."""
+    signed = lambda i: (1 << i) - (1 << BITS if i == BITS - 1 else 0)
     tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks())])
     keyed = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    small = keyed.join(sizes.where(F.col("n") <= pairwise), ["t", "key"]).select("t", "key", "fp")
-    near = small.alias("a").join(small.alias("b"), ["t", "key"]).where("a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= 2").select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
-    large = keyed.join(sizes.where(F.col("n") > pairwise).select("t", "key"), ["t", "key"]).select("fp").distinct()
-    ball = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << BITS if i == BITS - 1 else 0)).cast("long") for i in range(BITS)])
-    balls = large.select("fp", F.explode(ball).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
-    hubs = balls.select("fp", F.min("fp").over(Window.partitionBy("word")).alias("hub")).where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
-    return near.unionByName(hubs)
+    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
+    free = F.array(*[F.array(*[F.lit(0).cast("long"), *[F.lit(signed(i)).cast("long") for i in range(BITS) if not m >> i & 1]]) for m in masks()])
+    words = keyed.join(shared, ["t", "key"]).select("t", "fp", F.explode(F.transform(F.element_at(free, F.col("t") + 1), lambda x: F.col("fp").bitwiseXOR(x))).alias("word"))
+    met = words.groupBy("t", "word").agg(F.min("fp").alias("v"), F.collect_list("fp").alias("us")).where(F.size("us") > 1)
+    return met.select(F.explode("us").alias("u"), "v").where("u <> v").distinct()
 
 
 def _rooted(distinct: DataFrame) -> DataFrame:
@@ -101,10 +100,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Null and empty texts have fingerprint zero and link like any other. A document on its own is
     its own component. Equal texts share a fingerprint, so copies cost one comparison in all.
     Other columns are ignored, whatever their names. Null doc_ids stay and never name a component
-    unless a component has no other.
+    unless a component has no other. Repeated rows give repeated results. A very long text is
+    fingerprinted whole, in one task. An empty table gives an empty table.
     """
-    from .common import cut
-
     own = cut(fingerprints(docs, shingle))
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     rooted = _rooted(distinct)
@@ -118,15 +116,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Null doc_ids come last; rows with equal doc_id go by a hash of the text, equal rows by their JSON.
     A row counts by its own text: a repeated doc_id stays once for each component that it leads.
+    Columns may have any names. Null and empty texts are one component. An empty table stays empty.
     """
-    from .common import cut
-
-    own = cut(fingerprints(docs.withColumn("_hash", F.xxhash64(text_of())), also=("_hash",)))
-    copies = own.groupBy("fp", "doc_id", "_hash").agg(F.count("*").alias("n"))
-    distinct = cut(copies.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "n")).alias("first")))
-    keep = cut(_rooted(distinct).groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_h"), "k.n"))
-    rows = docs.withColumn("_hash", F.xxhash64(text_of()))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
-    once, more = (rows.join(keep.where(n), same, "left_semi") for n in ("n = 1", "n > 1"))
-    w = Window.partitionBy("doc_id", "_hash").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-    return once.unionByName(more.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")).drop("_hash")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), "doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("hash"))
+    own = cut(fingerprints(rows, also=("hash",)))
+    copies = own.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("n"))
+    distinct = cut(copies.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "n")).alias("first")))
+    keep = cut(_rooted(distinct).groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.hash").alias("h"), "k.n"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h"))
+    once, more = (rows.join(keep.where(n), same, "left_semi").select("row", "doc_id", "hash") for n in ("n = 1", "n > 1"))
+    w = Window.partitionBy("doc_id", "hash").orderBy(F.to_json("row"))
+    first = more.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    return once.unionByName(first).select("row.*")
