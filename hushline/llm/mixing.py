@@ -3,23 +3,30 @@
 A source's target is its share by weight, at most `most` times its own words, the excess shared
 again. Targets are turned into whole blocks of equally many words: the sources get blocks by
 highest quotients target/(2q+1), then each source's shards get its blocks by highest quotients of
-their sizes. In a shard, documents lie in seeded order; whole passes are taken first, then the
-blocks from its start. Only sizes travel, and only a total per source and shard reaches the driver.
+their sizes. A shard's documents lie end to end in seeded order and are cut into blocks; whole
+passes take them all, and of the rest a seeded one-to-one map of the blocks' numbers selects as
+many as the quota asks for. A document's taken words are those in selected blocks.
+
+Only sizes travel: a total per source reaches the driver (MOST_SOURCES at most), and a total per
+shard the task of its source.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import random
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import buckets_for, text_of
+from .common import text_of, written
 
-WEIGHTS, SHARE, MOST, BLOCK, SEED, SHARD_ROWS = (3, 1, 2), 1.5, 2.0, 50, 17, 20_000
-#: Rows of the quota table up to which it is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 50_000
+WEIGHTS, SHARE, MOST, BLOCK, SEED = (3, 1, 2), 1.5, 2.0, 50, 17
+#: Words of a shard, about; a shard's rows are one window task. Sources of which the driver holds a total; more raise an error.
+SHARD_WORDS, MOST_SOURCES = 200_000, 5_000_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -49,65 +56,109 @@ def sainte_lague(weights: list[float], seats: int) -> list[int]:
     total = sum(weights)
     if total <= 0 or seats <= 0:
         return [0] * len(weights)
-    q = [max(0, int(w / total * seats) - 1) for w in weights]  # a start below the end; the rest goes seat by seat
-    heap = [(-w / (2 * q[k] + 1), k) for k, w in enumerate(weights) if w > 0]
-    heapq.heapify(heap)
-    for _ in range(seats - sum(q)):
-        _, k = heap[0]
-        q[k] += 1
-        heapq.heapreplace(heap, (-weights[k] / (2 * q[k] + 1), k))
-    while True:  # where the start was above the end: move seats until no quotient is out of order
-        last = min((k for k in range(len(q)) if q[k]), key=lambda k: (weights[k] / (2 * q[k] - 1), -k))
-        best = min(range(len(q)), key=lambda k: (-weights[k] / (2 * q[k] + 1), k))
-        if best == last or weights[best] / (2 * q[best] + 1) <= weights[last] / (2 * q[last] - 1):
+    q = [math.floor(w / total * seats + 0.5) for w in weights]  # right but for a few seats, which are given or taken one by one
+    off = seats - sum(q)
+    if off >= 0:
+        heap = [(-w / (2 * n + 1), k) for k, (w, n) in enumerate(zip(weights, q, strict=True)) if w > 0]
+        heapq.heapify(heap)
+        for _ in range(off):
+            k = heap[0][1]
+            q[k] += 1
+            heapq.heapreplace(heap, (-weights[k] / (2 * q[k] + 1), k))
+    else:
+        heap = [(w / (2 * n - 1), -k) for k, (w, n) in enumerate(zip(weights, q, strict=True)) if n > 0]
+        heapq.heapify(heap)
+        for _ in range(-off):
+            k = -heapq.heappop(heap)[1]
+            q[k] -= 1
+            if q[k]:
+                heapq.heappush(heap, (weights[k] / (2 * q[k] - 1), -k))
+    give = [(-w / (2 * n + 1), k) for k, (w, n) in enumerate(zip(weights, q, strict=True)) if w > 0]
+    take = [(w / (2 * n - 1), -k) for k, (w, n) in enumerate(zip(weights, q, strict=True)) if n > 0]
+    heapq.heapify(give)
+    heapq.heapify(take)
+    while True:  # seats move while a quotient that has none beats one that has
+        while -give[0][0] != weights[give[0][1]] / (2 * q[give[0][1]] + 1):
+            heapq.heappop(give)
+        while not q[-take[0][1]] or take[0][0] != weights[-take[0][1]] / (2 * q[-take[0][1]] - 1):
+            heapq.heappop(take)
+        best, last = give[0][1], -take[0][1]
+        if best == last or (-give[0][0], -best) <= (take[0][0], -last):
             return q
-        q[last] -= 1
-        q[best] += 1
-
-
-def quotas(totals: dict[tuple[str | None, int], int], block: int = BLOCK, **by) -> list[tuple]:
-    """(source, shard) -> words, as rows (source, shard, source_size, shard_size, target, quota in words)."""
-    sources: dict[str | None, dict[int, int]] = {}
-    for (source, shard), n in totals.items():
-        sources.setdefault(source, {})[shard] = n
-    names = sorted(sources, key=lambda s: (s is None, s or ""))
-    sizes = [sum(sources[s].values()) for s in names]
-    aim = targets(sizes, **by)
-    blocks = sainte_lague(aim, round(sum(aim) / block))
+        for k, n in ((last, -1), (best, 1)):
+            q[k] += n
+            heapq.heappush(give, (-weights[k] / (2 * q[k] + 1), k))
+            if q[k]:
+                heapq.heappush(take, (weights[k] / (2 * q[k] - 1), -k))
+
+
+def source_quotas(totals: list[tuple[str | None, int]], block: int = BLOCK, **by) -> list[tuple]:
+    """(source, words) -> (source, source_size, target, blocks, shards), in order of code points, null last."""
+    rows = sorted(totals, key=lambda r: (r[0] is None, (r[0] or "").encode()))
+    aim = targets([n for _, n in rows], **by)
+    return [(s, n, float(t), k, max(1, round(n / SHARD_WORDS))) for (s, n), t, k in zip(rows, aim, sainte_lague(aim, round(sum(aim) / block)), strict=True)]
+
+
+def shard_quotas(words: list[int], blocks: int, block: int, most: float, seed: int) -> list[tuple[int, int, int, int, int]]:
+    """Of each shard: its blocks, whole passes, further blocks, and the factor and offset that select them.
+
+    A shard is cut into equal blocks of as near `block` words as a whole number of them allows.
+    Block b is selected if (factor * b + offset) mod blocks is less than the further blocks; the
+    factor shares no divisor with their number, so that this holds for exactly as many.
+    """
     out = []
-    for s, size, target, n in zip(names, sizes, aim, blocks, strict=True):
-        shards = sorted(sources[s])
-        for shard, k in zip(shards, sainte_lague([sources[s][x] for x in shards], n), strict=True):
-            own = sources[s][shard]
-            out.append((s, shard, size, own, float(target), int(min(k * block, by.get("most", MOST) * own))))
+    for k, (n, quota) in enumerate(zip(words, sainte_lague([float(n) for n in words], blocks), strict=True)):
+        own, rnd = max(1, round(n / block)) if n else 0, random.Random(f"{seed} {k} {n}")
+        quota = min(quota, int(most * own))
+        factor = next((a for a in iter(lambda: rnd.randrange(1, max(own, 2)), None) if math.gcd(a, own) == 1), 1) if own else 1
+        out.append((own, quota // own if own else 0, quota % own if own else 0, factor, rnd.randrange(max(own, 1))))
     return out
 
 
-def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, **by) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, size: Column | None = None, **by) -> DataFrame:
     """docs with size, source_size, target and taken (words the mix takes of the row, repeats counted).
 
-    Null texts have size 0, null sources are a source of their own, the last. Repeated rows count
-    each. Columns of docs with those names are replaced. An empty table gives an empty table.
+    `size` is the words of a row, counted in `text` if not given. Null texts have size 0; null
+    sources are a source of their own, the last, apart from the empty one. Repeated rows count each;
+    null ids are ids. Columns of docs named size, source_size, target or taken are replaced, all
+    others stay whatever their names. A document may be longer than a shard. Reruns agree: rows lie
+    by a hash of their columns. An empty table gives an empty table.
     """
-    spark, shards = docs.sparkSession, buckets_for(docs.count(), SHARD_ROWS)
-    own = docs.drop("source_size", "target", "taken").withColumn("size", word_count(text_of())).withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"))
-    totals = {(r[0], r[1]): r[2] for r in own.groupBy("source", "_shard").agg(F.sum("size")).collect()}
-    table = spark.createDataFrame(quotas(totals, block, **by), "_source string, _of int, source_size long, _shard_size long, target double, _quota long")
-    table = F.broadcast(table) if len(totals) <= BROADCAST_ROWS else table
-    joined = own.join(table, own.source.eqNullSafe(table._source) & (own._shard == table._of))
-    before = F.sum("size").over(Window.partitionBy("source", "_shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.when(F.col("_shard_size") > 0, F.floor(F.col("_quota") / F.col("_shard_size"))).otherwise(0)
-    rest = F.col("_quota") - whole * F.col("_shard_size")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.coalesce(before, F.lit(0))))
-    return joined.withColumn("taken", taken.cast("long")).drop("_source", "_of", "_shard", "_shard_size", "_quota")
+    spark = docs.sparkSession
+    rest = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if f.name in rest and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
+    own = docs.select(row, "source", (word_count(text_of()) if size is None else size.cast("long")).alias("size"), F.xxhash64(F.lit(seed), *hashed).alias("hash"))
+    sums = own.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    table = spark.createDataFrame(source_quotas([tuple(r) for r in sums], block, **by), "of string, source_size long, target double, blocks long, shards int")
+    small = (lambda df: F.broadcast(df)) if len(sums) <= 50_000 else (lambda df: df)  # rows of the table that are broadcast; beyond, the join shuffles
+    own = own.join(small(table), own.source.eqNullSafe(table.of)).withColumn("shard", F.pmod("hash", "shards").cast("int")).drop("of", "shards")
+
+    def quotas(shards: pd.DataFrame) -> pd.DataFrame:
+        shards = shards.sort_values("shard").reset_index(drop=True)
+        got = pd.DataFrame(shard_quotas(shards.words.tolist(), int(shards.blocks.iloc[0]), block, by.get("most", MOST), seed), columns=["own", "passes", "further", "factor", "shift"])
+        return pd.concat([shards[["of", "at", "words"]], got], axis=1)
+
+    totals = own.groupBy(F.col("source").alias("of"), "shard", "blocks").agg(F.sum("size").alias("words")).withColumn("at", F.col("shard"))
+    plan = written(totals.groupBy("of").applyInPandas(quotas, "of string, at int, words long, own long, passes long, further long, factor long, shift long"), "mix-quotas")
+    both = own.join(plan, own.source.eqNullSafe(plan.of) & (own.shard == plan.at))
+    first = F.coalesce(F.sum("size").over(Window.partitionBy("source", "shard").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # block b of a shard begins at its word b * words div own; those from the first to the last of a document's words are looked at
+    chosen = F.expr("""aggregate(sequence(((first + 1) * own - 1) div words, ((first + size) * own - 1) div words), 0L, (n, b) -> n + if(pmod(factor * b + shift, own) < further,
+        least((b + 1) * words div own, first + size) - greatest(b * words div own, first), 0L))""")
+    taken = F.when(F.col("size") > 0, F.col("passes") * F.col("size") + F.when(F.col("further") > 0, chosen).otherwise(0)).otherwise(0)
+    return both.withColumn("first", first).select("row.*", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **by) -> DataFrame:
     """The mix as whole documents, columns unchanged: a row for each pass that takes half of it or more.
 
-    At the edge of a shard's quota a document is taken in part; it stays if half or more is in.
-    Documents without words are dropped, as no quota asks for them.
+    A document is taken in blocks, so in part; it stays if half or more is in. Documents without
+    words are dropped, as no quota asks for them. Columns may have any names, those of mix() too.
     """
-    own = mix(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), **by)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source")
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    return own.where("size > 0").withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    got = mix(row, **by).where("size > 0").select("row", times.alias("times")).where("times > 0")
+    return got.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

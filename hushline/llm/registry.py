@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hushline.session import ship
 
 from . import decontaminate, licenses, lm, mixing, pii, quality, rules, simhash, suffixes, tokens
-from .common import documents
+from .common import documents, text_of, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    docs = documents(spark, sf_dir)
+    sized = written(docs.select("doc_id", "source", mixing.word_count(text_of()).alias("words"), F.xxhash64(text_of()).alias("of_text")), "mix-sizes")
+    return mixing.mix(sized, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
