@@ -38,9 +38,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder that the cluster names; in one of our own only where none is set (tests)."""
+    """A new path in the shared folder that the cluster names. One of our own only where none is set and all runs on this machine; else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
