@@ -3,20 +3,25 @@
 Words are lower-cased and stripped of ASCII punctuation at their ends. An item of L words is found
 in a text if some run of the text's words is within floor((1 - similarity) * L) word edits of it.
 
-1. Gate, lossless: k edits leave one of the item's k+1 equal pieces whole, so a match shares a
-   run of floor(L/(k+1)) words (at most four are used) with the item. Runs of all texts are looked
-   up in a bitmap first; each shared run gives a diagonal, and item-sized windows around it.
-2. The CGK walk copies an item or window to 3L symbols: each step writes the current word and moves
-   on or stays, by a random bit of step and word. Small edit distance becomes small Hamming
-   distance. Each of REPEATS walks samples SAMPLES places; equal samples are a collision.
-3. The windows that collide are verified by exact edit distance against any substring nearby.
-
-The items are a stated query set, taken in blocks of at most `block_items`; each block is a pass
-over all documents, so what a task holds doesn't grow with the benchmark.
+1. Windows. k edits leave one of the item's k+1 equal pieces whole, so a match holds a run of
+   floor(L/(k+1)) words of a piece (at most four are used). Where a text holds such a run, windows
+   of L words are cut around it. This gate names places and lengths, not items; it loses nothing.
+2. The CGK walk copies an item or window to some 2L symbols: each step writes the current word and
+   moves on or stays, by a random bit of step and word. Small edit distance becomes small Hamming
+   distance. Each of REPEATS walks is a hash table, keyed by the symbols at SAMPLES of its steps
+   (and L). Candidates are the items that the tables hold under a window's keys, and no others;
+   samples after a walk's end match nothing.
+3. Candidates are verified by exact edit distance against any substring nearby.
+
+The items are a stated query set in blocks of about `block_items`, built by tasks into files in the
+shared folder. Documents are passed over once; a task goes through the blocks, holding a few.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh_path, text_of, written
 from .packing import mixed
+from .slabs import by_bytes, place
 
-SIMILARITY, REPEATS, SAMPLES, MIN_WORDS, BLOCK_ITEMS, SLICE_DOCS = 0.8, 128, 3, 5, 20_000, 1000
+SIMILARITY, REPEATS, SAMPLES, BLOCK_ITEMS, SLICE_BYTES, HELD_BLOCKS, CHUNK = 0.8, 128, 3, 20_000, 2 << 20, 6, 100_000
+#: Steps of a walk that are sampled, for each word of the window; walks end after two on average.
+STRETCH = 1.7
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-"
 _PAD = np.int64(-1)
 
@@ -40,54 +48,98 @@ def _normal(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pc.ascii_trim(words.flatten(), PUNCTUATION), np.diff(words.offsets.to_numpy())
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... n[k] times, for each k."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Items:
-    """A block of items: word numbers, gate tables, walks."""
+    """A block of items: word numbers, gates, and the hash tables of the walks."""
 
     def __init__(self, ids: list, texts: list[str | None], similarity: float = SIMILARITY, repeats: int = REPEATS, samples: int = SAMPLES, seed: int = 11):
         flat, sizes = _normal(pa.array([t or "" for t in texts], pa.string()))
         self.vocabulary = pc.unique(flat)
         numbers = pc.index_in(flat, self.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         cuts = np.cumsum(sizes)
-        kept = [k for k in range(len(ids)) if sizes[k] >= MIN_WORDS]
+        kept = [k for k in range(len(ids)) if (texts[k] or "").strip(" \t\n\x0b\x0c\r")]
         self.ids, self.words = [ids[k] for k in kept], [numbers[cuts[k] - sizes[k] : cuts[k]] for k in kept]
         self.edits = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
         self.longest = max(map(len, self.words), default=0)
+        self.most_edits = dict(zip(map(len, self.words), self.edits, strict=True))
         rng = np.random.default_rng(seed)
         self.salts, self.places = rng.integers(1, 1 << 62, repeats, np.uint64), rng.random((repeats, samples))
-        runs: dict[int, list] = {}
-        for t, (w, k) in enumerate(zip(self.words, self.edits, strict=True)):
-            q = min(4, len(w) // (k + 1))
-            runs.setdefault(q, []).extend((h, t, o) for o, h in enumerate(_runs(w, q).tolist()))
+        runs: dict[int, set] = {}
+        for w, k in zip(self.words, self.edits, strict=True):
+            piece = len(w) // (k + 1)
+            q = min(4, piece)
+            h = _runs(w, q)
+            runs.setdefault(q, set()).update((int(h[o]), o, len(w)) for o in range(0, (k + 1) * piece, piece))
         self.gates = {}
         for q, found in runs.items():
-            found.sort()
-            keys = np.array([f[0] for f in found], np.uint64)
+            keys, offsets, lengths = (np.array(c, t) for c, t in zip(zip(*sorted(found), strict=True), (np.uint64, np.int64, np.int64), strict=True))
+            distinct, first = np.unique(keys, return_index=True)
             bitmap = np.zeros(1 << 20, bool)
-            bitmap[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.gates[q] = (keys, np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64), bitmap)
-        self.keys = self._samples(np.stack([np.pad(w, (0, self.longest - len(w)), constant_values=_PAD) for w in self.words]), np.array([len(w) for w in self.words])) if kept else None
-
-    def _samples(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """(repeats, rows) hashes of the sampled places of the CGK walks over the rows of x."""
+            bitmap[(distinct >> np.uint64(44)).astype(np.int64)] = True
+            self.gates[q] = (distinct, first, np.diff(np.append(first, len(keys))), offsets, lengths, bitmap)
+        own = [self.keys(np.stack([np.pad(w, (0, self.longest - len(w)), constant_values=_PAD) for w in self.words[k : k + 512]]), np.array([len(w) for w in self.words[k : k + 512]])) for k in range(0, len(self.words), 512)]
+        table = np.concatenate(own, axis=1) if own else np.zeros((repeats, 0), np.uint64)
+        self.order = np.argsort(table, axis=1, kind="stable").astype(np.int32)
+        self.table = np.take_along_axis(table, self.order, axis=1)
+
+    def keys(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(repeats, rows) table keys of windows: the walk over the first sizes[k] symbols of each row of x; 0 where a sample lies after its end."""
         repeats, n = len(self.salts), len(x)
-        at, keys = np.zeros((repeats, n), np.int64), np.zeros((repeats, n), np.uint64)
-        sampled = (self.places[:, :, None] * (3 * sizes)[None, None, :]).astype(np.int64)
+        at, keys, ended = np.zeros((repeats, n), np.int64), np.zeros((repeats, n), np.uint64), np.zeros((repeats, n), bool)
+        sampled = (self.places[:, :, None] * (STRETCH * sizes)[None, None, :]).astype(np.int64)
         rows = np.arange(n)
-        for step in range(3 * int(sizes.max(initial=0))):
+        for step in range(int(sampled.max(initial=-1)) + 1):
             inside = at < sizes[None, :]
             symbol = np.where(inside, x[rows[None, :], np.minimum(at, x.shape[1] - 1)], _PAD).astype(np.uint64)
             for s in range(sampled.shape[1]):
-                keys = np.where(sampled[:, s] == step, mixed(keys * np.uint64(31) + symbol + np.uint64(s + 1)), keys)
+                here = sampled[:, s] == step
+                keys = np.where(here, mixed(keys * np.uint64(31) + symbol + np.uint64(s + 1)), keys)
+                ended |= here & ~inside
             at += inside & ((mixed(symbol * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step) + self.salts[:, None]) >> np.uint64(40)) & np.uint64(1)).astype(bool)
-        return keys
-
-    def collide(self, windows: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Which windows collide with their item in some walk."""
-        sizes, out = np.array([len(self.words[t]) for t in items]), np.zeros(len(items), bool)
-        for k in range(0, len(items), 512):
-            part = slice(k, k + 512)
-            out[part] = (self._samples(windows[part], sizes[part]) == self.keys[:, items[part]]).any(axis=0)
-        return out
+        return np.where(ended, np.uint64(0), mixed(keys ^ mixed(sizes.astype(np.uint64))[None, :]) | np.uint64(1))
+
+    def candidates(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs that some table brings together, each once, ascending."""
+        pairs = [np.zeros(0, np.int64)]
+        for k in range(0, len(x), 512):
+            for r, mine in enumerate(self.keys(x[k : k + 512], sizes[k : k + 512])):
+                left, n = np.searchsorted(self.table[r], mine, "left"), np.searchsorted(self.table[r], mine, "right")
+                n = np.where(mine == 0, 0, n - left)
+                if n.any():
+                    pairs.append((np.repeat(np.arange(k, k + len(mine)), n) << 32) | self.order[r][_spread(left, n)])
+        both = np.unique(np.concatenate(pairs))
+        return both >> 32, both & 0xFFFFFFFF
+
+    def windows(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows that the gates name, as (text, start within it, words), each once, in bounded chunks."""
+        if not len(begins):
+            return
+        wide, deep = int((ends - begins).max()) + 2 * self.longest + 1, self.longest + 1
+        codes = np.zeros(0, np.int64)
+        for q, (distinct, first, many, offsets, lengths, bitmap) in self.gates.items():
+            h = _runs(ids, q)
+            maybe = np.flatnonzero(bitmap[(h >> np.uint64(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(distinct, h[maybe]), len(distinct) - 1)
+            same = distinct[at] == h[maybe]
+            maybe, at = maybe[same], at[same]
+            text = np.searchsorted(ends, maybe, side="right")
+            whole = maybe + q <= ends[text] if len(maybe) else np.zeros(0, bool)
+            maybe, at, text = maybe[whole], at[whole], text[whole]
+            upto, k = np.cumsum(many[at]), 0
+            while k < len(maybe):
+                end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + CHUNK, "right")))
+                n = many[at[k:end]]
+                entry = _spread(first[at[k:end]], n)
+                start = np.repeat(maybe[k:end] - begins[text[k:end]], n) - offsets[entry] + self.longest
+                codes = np.unique(np.append(codes, (np.repeat(text[k:end], n) * wide + start) * deep + lengths[entry]))
+                k = end
+        for k in range(0, len(codes), CHUNK):
+            part = codes[k : k + CHUNK]
+            yield part // deep // wide, part // deep % wide - self.longest, part % deep
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, edits) of the best place of each item in each text that holds it."""
@@ -95,40 +147,36 @@ class Items:
             return []
         flat, sizes = _normal(texts)
         ids = pc.fill_null(pc.index_in(flat, self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        ends, text = np.cumsum(sizes), None
-        candidates = set()
-        for q, (keys, items, offsets, bitmap) in self.gates.items():
-            h = _runs(ids, q)
-            maybe = np.flatnonzero(bitmap[(h >> np.uint64(44)).astype(np.int64)])
-            left, right = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
-            maybe, left, n = maybe[right > left], left[right > left], (right - left)[right > left]
-            if not len(maybe):
-                continue
-            entry = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = np.repeat(maybe, n)
-            text = np.searchsorted(ends, place, side="right")
-            whole = place + q <= ends[text]
-            candidates.update(zip(text[whole].tolist(), items[entry][whole].tolist(), (place - offsets[entry])[whole].tolist(), strict=True))
-        if not candidates:
-            return []
+        ends = np.cumsum(sizes)
         begins = ends - sizes
-
-        def colliding(windows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-            of, item, start = (np.array(x) for x in zip(*windows, strict=True))
-            at, size = start[:, None] + np.arange(self.longest)[None, :], np.array([len(self.words[i]) for i in item])
-            inside = (at >= begins[of][:, None]) & (at < ends[of][:, None])
-            x = np.where(inside, ids[np.clip(at, 0, max(len(ids) - 1, 0))], 0)
-            x[np.arange(self.longest)[None, :] >= size[:, None]] = _PAD
-            return [windows[k] for k in np.flatnonzero(self.collide(x, item))]
-
-        hits = colliding(sorted(candidates))  # the window on the diagonal itself; where it doesn't collide, those around it
-        if around := sorted({(t, i, d + shift) for t, i, d in candidates.difference(hits) for shift in range(-self.edits[i], self.edits[i] + 1) if shift}):
-            hits += colliding(around)
+        hits: set[tuple[int, int, int]] = set()
+
+        def tried(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+            """Adds the candidates of windows; returns which had none."""
+            none = np.ones(len(text), bool)
+            for k in range(0, len(text), 4096):
+                t, s, n = text[k : k + 4096], start[k : k + 4096], size[k : k + 4096]
+                at = (begins[t] + s)[:, None] + np.arange(self.longest)[None, :]
+                inside = (at >= begins[t][:, None]) & (at < ends[t][:, None])
+                x = np.where(inside, ids[np.clip(at, 0, max(len(ids) - 1, 0))], 0)
+                window, item = self.candidates(x, n)
+                hits.update(zip(t[window].tolist(), item.tolist(), s[window].tolist(), strict=True))
+                none[k + window] = False
+            return none
+
+        for text, start, size in self.windows(ids, begins, ends):  # as cut, and where the tables hold nothing, moved by up to the edits
+            none = tried(text, start, size)
+            text, start, size = text[none], start[none], size[none]
+            most = np.array([self.most_edits[n] for n in size.tolist()], np.int64)
+            for shift in range(1, int(most.max(initial=0)) + 1):
+                able = most >= shift
+                for way in (shift, -shift):
+                    tried(text[able], start[able] + way, size[able])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         regions: list[list[int]] = []
         for t, i, d in sorted(hits):
             k = self.edits[i]
-            a, b = max(int(begins[t]), d - k), min(int(ends[t]), d + len(self.words[i]) + k)
+            a, b = max(int(begins[t]), int(begins[t]) + d - k), min(int(ends[t]), int(begins[t]) + d + len(self.words[i]) + k)
             if regions and regions[-1][:2] == [t, i] and a <= regions[-1][3]:
                 regions[-1][3] = max(b, regions[-1][3])
             else:
@@ -167,58 +215,81 @@ def _substring_edits(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, i
     return best
 
 
-def _blocks(items: DataFrame, block_items: int) -> Iterator[tuple[list, list]]:
-    """The items, null texts left out, a bounded block at a time."""
-    ids, texts = [], []
-    for r in items.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id").toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        if len(ids) == block_items:
-            yield ids, texts
-            ids, texts = [], []
-    if ids:
-        yield ids, texts
+def build_blocks(items: DataFrame, similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> tuple[str, list[str]]:
+    """Builds blocks of items in tasks; their folder and names. Only the names reach the driver."""
+    folder = fresh_path(items.sparkSession, "items")
+    own = items.where("text IS NOT NULL").select("item_id", "text")
+    blocks = max(1, math.ceil(own.count() / block_items))
+
+    def build(table: pa.Table) -> pa.Table:
+        (fs, path), name = place(folder), f"{uuid.uuid4().hex}.items"
+        fs.create_dir(path, recursive=True)
+        rows = sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r))
+        with fs.open_output_stream(f"{path}/{name}") as sink:
+            sink.write(pickle.dumps(Items([r[0] for r in rows], [r[1] for r in rows], similarity)))
+        return pa.table([[name]], ["name"])
+
+    named = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).groupBy("block").applyInArrow(build, "name string")
+    return folder, sorted(r[0] for r in written(named, "item-blocks").collect())
+
 
+_HELD: dict[tuple[str, str], Items] = {}
 
-def _sliced(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    for k in range(0, len(column), SLICE_DOCS):
-        yield k, column.slice(k, SLICE_DOCS)
+
+def load_block(folder: str, name: str) -> Items:
+    """A block of items, kept by this worker while it is one of the last HELD_BLOCKS."""
+    if (folder, name) not in _HELD:
+        while len(_HELD) >= HELD_BLOCKS:
+            del _HELD[next(iter(_HELD))]
+        fs, path = place(folder)
+        with fs.open_input_file(f"{path}/{name}") as source:
+            _HELD[folder, name] = pickle.loads(source.read())
+    return _HELD[folder, name]
 
 
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, edits): the best place of each item in each row that holds it.
 
-    Null and empty texts hold nothing; items of fewer than MIN_WORDS words are held by nothing.
-    Repeated rows give repeated results, repeated items too. No items or no rows: an empty table.
+    Null and empty texts hold nothing, and items without words are held by nothing. Items of fewer
+    than five words have no edits, so only their words as they are hold them. Repeated rows give
+    repeated results, repeated items too; null ids are ids. A very long text is worked through
+    whole, in one task. Other columns are ignored. No items or no rows: an empty table.
     """
     id_type, item_type = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType
     schema = f"doc_id {id_type.simpleString()}, item_id {item_type.simpleString()}, first_word int, n_words int, edits int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for ids, texts in _blocks(items, block_items):
-        block = Items(ids, texts, similarity)
+    folder, names = build_blocks(items, similarity, block_items)
+
+    def run(batches):
+        for b in batches:
+            for name in names:
+                block = load_block(folder, name)
+                for k, n in by_bytes(b.column(1), SLICE_BYTES):
+                    if got := block.find(b.column(1).slice(k, n)):
+                        t, i, first, long, e = zip(*got, strict=True)
+                        ids = pa.array([block.ids[x] for x in i]).cast(schema_of[1].type)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k + x for x in t])), ids, pa.array(first, pa.int32()), pa.array(long, pa.int32()), pa.array(e, pa.int32())], ["doc_id", "item_id", "first_word", "n_words", "edits"])
 
-        def run(batches, block=block):
-            for b in batches:
-                for k, part in _sliced(b.column(1)):
-                    if got := block.find(part):
-                        t, i, first, n, e = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k + x for x in t])), pa.array([block.ids[x] for x in i]), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(e, pa.int32())], ["doc_id", "item_id", "first_word", "n_words", "edits"])
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-        out = out.unionByName(docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema))
-    return out
+    schema_of = to_arrow_schema(items.sparkSession.createDataFrame([], schema).schema)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """docs without the rows that hold an item; columns unchanged. A filter in place: nothing is shuffled."""
-    for ids, texts in _blocks(items, block_items):
-        block = Items(ids, texts, similarity)
-
-        def run(batches, block=block, at=docs.columns.index("text")):
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for k, part in _sliced(pc.fill_null(b.column(at), "")):
-                    keep[[k + x[0] for x in block.find(part)]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """docs without the rows that hold an item; columns unchanged. A filter in place: nothing is shuffled.
+
+    Null and empty texts hold nothing and stay, as do rows with null ids; repeated rows stay or go
+    alike. Columns may have any names. No items: all rows. An empty table stays empty.
+    """
+    folder, names = build_blocks(items, similarity, block_items)
+
+    def run(batches, at=docs.columns.index("text")):
+        for b in batches:
+            keep, texts = np.ones(b.num_rows, bool), pc.fill_null(b.column(at), "")
+            for name in names:
+                block = load_block(folder, name)
+                for k, n in by_bytes(texts, SLICE_BYTES):
+                    keep[[k + x[0] for x in block.find(texts.slice(k, n))]] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
