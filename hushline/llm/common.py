@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents that one bucket of a bucketed operator holds, about 10 MB of text.
-DOCS_PER_BUCKET = 2500
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -22,16 +17,20 @@ def text_of(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def buckets_for(rows: int, each: int = DOCS_PER_BUCKET) -> int:
-    """How many buckets keep a bucket at about `each` rows, whatever the input's size."""
-    return max(1, math.ceil(rows / each))
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores as keep it apart from the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set (tests)."""
+    """The shared folder that the cluster names. One of our own only where none is set and all runs on this machine; else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not named and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

@@ -1,11 +1,13 @@
 """Token ids as Arrow stream files of fixed-size lists, for zero-copy random access.
 
-Documents are dealt by ranges of doc_id, so a file holds a run of the global order. A task encodes
-its documents, appends the end id to each, and cuts the run into sequences of equal length; each
-record batch has two columns, `ids` and `mask`, as fixed-size lists (the mask is false on the
-padding of a file's last sequence). Sequence i of a file lies at a computable offset of the mapped
-file. A task writes under a name of its own attempt and the index names the file, so a rerun of a
-lost task leaves no mixed files.
+Documents are dealt by ranges of (doc_id, hash of the text), so a file holds a run of the global
+order and rows of one id need not stay together. A task encodes its documents, appends the end id to
+each, and cuts the run into sequences of equal length; a file ends with the document that fills it.
+Each record batch has two columns, `ids` and `mask`, as fixed-size lists (the mask is false on the
+padding of a file's last sequence), and all but the last hold BATCH sequences, so sequence i lies
+in a known place of the mapped file: SequenceFile gives it without reading or copying the rest. A
+task writes under a name of its own attempt and the index names the file, so a rerun of a lost task
+leaves no mixed files.
 
 A text is encoded through its pieces between spaces and line ends: the tokenizer's rules never
 reach across them (white space is dropped and splits words), so each distinct piece is encoded
@@ -15,10 +17,10 @@ once per task and the ids are gathered in Arrow. That is checked against whole-t
 from __future__ import annotations
 
 import json
+import math
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,12 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import buckets_for, fresh_path, text_of, written
+from .common import fresh_path, text_of, written
+from .slabs import by_bytes, place
 
-END, SEQUENCE, BATCH, FILE_ROWS, SLICE_BYTES = 2, 1024, 256, 4000, 6 << 20
+END, SEQUENCE, BATCH, PART_BYTES, FILE_IDS, SLICE_BYTES = 2, 1024, 256, 12 << 20, 4 << 20, 6 << 20
 #: Letters that stay letters when composed and lower-cased (some others end in a mark then, which joins a stop).
 LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3C9}\x{400}-\x{481}\x{4E00}-\x{9FFF}"
 
@@ -147,15 +151,6 @@ def encoder_for(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
-    """The column in runs of about `most` bytes."""
-    sizes, k = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)), 0
-    while k < len(column):
-        end = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + most, side="right")))
-        yield column.slice(k, end - k)
-        k = end
-
-
 def file_schema(sequence: int, dtype) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
@@ -184,83 +179,113 @@ class SequenceWriter:
         self.out.close()
 
 
-def read_ids(source) -> np.ndarray:
-    """The run of ids of a stream file, padding left off."""
-    parts = []
-    for b in pa.ipc.open_stream(source):
-        ids, mask = b.column(0).flatten().to_numpy(), b.column(1).flatten()
-        n = pc.sum(mask).as_py() or 0
-        parts.append(ids[:n])
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+class SequenceFile:
+    """Random access to the sequences of a stream file. A local file is mapped: only what is asked for is read, and ids are views of it."""
+
+    def __init__(self, folder: str, name: str):
+        fs, path = place(folder)
+        self.source = pa.memory_map(f"{path}/{name}") if isinstance(fs, pyarrow.fs.LocalFileSystem) else fs.open_input_file(f"{path}/{name}")
+        self.batches = list(pa.ipc.open_stream(self.source))
+        self.sequence = self.batches[0].schema.field("ids").type.list_size if self.batches else 0
+
+    def __len__(self) -> int:
+        return (len(self.batches) - 1) * BATCH + self.batches[-1].num_rows if self.batches else 0
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Sequence i: its ids and mask."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        batch, at = self.batches[i // BATCH], i % BATCH * self.sequence
+        return batch.column(0).values.to_numpy()[at : at + self.sequence], batch.column(1).values.slice(at, self.sequence)
+
+    def ids(self, at: int, n: int) -> np.ndarray:
+        """n ids of the file's run from place `at`; a view where they lie in one batch."""
+        each, parts = BATCH * self.sequence, []
+        while n > 0:
+            within = at % each
+            part = self.batches[at // each].column(0).values.to_numpy()[within : within + n]
+            parts.append(part)
+            at, n = at + len(part), n - len(part)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+
+    def close(self) -> None:
+        self.batches = []
+        self.source.close()
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
-    """Writes docs' token files to `folder` (any file system URI); the index: doc_id, file, at, n_tokens, part.
+    """Writes docs' token files to `folder` (any file system URI); the index: doc_id, file, at, n_tokens, task, part.
 
-    `at` is the place of a document's first id in its file's run, `part` the file's rank. Null
+    `at` is the place of a document's first id in its file's run, (task, part) the file's rank. Null
     texts are empty: just the end id. Null doc_ids come first; rows of equal doc_id lie by hash of
-    their text. The index is written to the shared folder, so the files are written once.
+    their text, and equal rows in any order. A very long text is encoded in one task and lies in one
+    file. Other columns are ignored. An empty table gives an empty index and no files. The index is
+    written to the shared folder, so the files are written once.
     """
     tokenizer = tokenizer or default_tokenizer()
     own = docs.select("doc_id", text_of().alias("text"))
-    dealt = own.repartitionByRange(buckets_for(docs.count(), FILE_ROWS), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    base = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    parts = max(1, math.ceil((own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PART_BYTES))
+    dealt = own.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
 
     def run(batches):
-        part, encoder, writer, at = TaskContext.get().partitionId(), None, None, 0
-        fs, path = pyarrow.fs.FileSystem.from_uri(base)
-        name = f"part-{part:06d}-{uuid.uuid4().hex}.arrows"
+        task, part, encoder, writer, at = TaskContext.get().partitionId(), 0, None, None, 0
+        fs, path = place(folder)
         for b in batches:
-            if encoder is None:
-                encoder = encoder_for(tokenizer)
-                fs.create_dir(path, recursive=True)
-                sink = fs.open_output_stream(f"{path}/{name}")
-                writer = SequenceWriter(sink, sequence, encoder.dtype)
-            n = []
-            for texts in _slices(b.column(1)):
-                ids, counts = encoder.texts(texts, end)
+            encoder = encoder or encoder_for(tokenizer)
+            for k, rows in by_bytes(b.column(1), SLICE_BYTES):
+                if writer is None:
+                    fs.create_dir(path, recursive=True)
+                    name = f"part-{task:06d}-{part:04d}-{uuid.uuid4().hex}.arrows"
+                    sink = fs.open_output_stream(f"{path}/{name}")
+                    writer, at = SequenceWriter(sink, sequence, encoder.dtype), 0
+                ids, n = encoder.texts(b.column(1).slice(k, rows), end)
                 writer.add(ids)
-                n.append(counts)
-            n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * len(n)), pa.array(starts), pa.array(n), pa.array(np.full(len(n), part, np.int32))], ["doc_id", "file", "at", "n_tokens", "part"])
+                starts = at + np.cumsum(n) - n
+                at += int(n.sum())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, rows), pa.array([name] * rows), pa.array(starts), pa.array(n), pa.array(np.full(rows, task, np.int32)), pa.array(np.full(rows, part, np.int32))], ["doc_id", "file", "at", "n_tokens", "task", "part"])
+                if at >= FILE_IDS:
+                    writer.close()
+                    sink.close()
+                    writer, part = None, part + 1
         if writer is not None:
             writer.close()
             sink.close()
 
-    return written(dealt.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, file string, at long, n_tokens long, part int"), "token-index")
+    return written(dealt.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, file string, at long, n_tokens long, task int, part int"), "token-index")
 
 
 def read_documents(index: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, file, at) of each document, read back from the files.
 
     start counts the ids of all documents before it, over all files; ids_crc32 is over its ids as
-    little-endian unsigned 32-bit integers. Only a total per file reaches the driver.
+    little-endian unsigned 32-bit integers. Files' totals are added up in groups of 1024 tasks, and
+    the groups' totals in one short window; nothing reaches the driver. An empty index gives an
+    empty table.
     """
-    base = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    totals, before, n = index.groupBy("file").agg(F.min("part").alias("part"), F.sum("n_tokens").alias("n")).orderBy("part").collect(), {}, 0
-    for r in totals:
-        before[r["file"]] = n
-        n += r["n"]
-    offsets = index.sparkSession.createDataFrame([(k, v) for k, v in before.items()], "file string, before long")
+    files = index.groupBy("file").agg(F.min("task").alias("task"), F.min("part").alias("part"), F.sum("n_tokens").alias("n")).withColumn("group", F.floor(F.col("task") / 1024))
+    until = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = files.groupBy("group").agg(F.sum("n").alias("n")).select("group", F.coalesce(F.sum("n").over(until.orderBy("group")), F.lit(0)).alias("first"))
+    within = F.coalesce(F.sum("n").over(until.partitionBy("group").orderBy("task", "part")), F.lit(0))
+    offsets = files.withColumn("within", within).join(groups, "group").select("file", (F.col("first") + F.col("within")).alias("before"))
     schema = index.schema["doc_id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        file = table.column("file")[0].as_py()
-        fs, path = pyarrow.fs.FileSystem.from_uri(base)
-        with fs.open_input_file(f"{path}/{file}") as f:
-            ids = read_ids(f)
+        source = SequenceFile(folder, table.column("file")[0].as_py())
         at, size = table.column("at").to_numpy(), table.column("n_tokens").to_numpy()
-        crc = np.fromiter((zlib.crc32(ids[a : a + k].astype("<u4")) for a, k in zip(at.tolist(), size.tolist(), strict=True)), np.int64, len(at))
+        crc = np.fromiter((zlib.crc32(source.ids(a, k).astype("<u4")) for a, k in zip(at.tolist(), size.tolist(), strict=True)), np.int64, len(at))
+        source.close()
         start = table.column("before").to_numpy() + at
         return pa.table([table.column("doc_id"), pa.array(start), pa.array(size), pa.array(crc), table.column("file"), table.column("at")], ["doc_id", "start", "n_tokens", "ids_crc32", "file", "at"])
 
     # the index holds a few dozen bytes per document and a group is one file's documents
-    return index.join(F.broadcast(offsets), "file").groupBy("file").applyInArrow(run, f"doc_id {schema}, start long, n_tokens long, ids_crc32 long, file string, at long")
+    return index.join(offsets, "file").groupBy("file").applyInArrow(run, f"doc_id {schema}, start long, n_tokens long, ids_crc32 long, file string, at long")
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, start, n_tokens, ids_crc32), one row per row: written to token files and read back.
+
+    Nulls, repeats, long texts, other columns and empty tables: as write_files and read_documents say.
+    """
     folder = folder or fresh_path(docs.sparkSession, "tokens")
     return read_documents(write_files(docs, folder, tokenizer), folder).drop("file", "at")
