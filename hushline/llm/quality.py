@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import text_of, unused
 
 SAMPLE_ROWS, BINS, ROUNDS, RATE, PAIRS, CUTOFF = 20_000, 32, 120, 0.15, 6, 0.3
 FEATURES = ("log_words", "word_length", "upper", "symbols", "shouts", "pipes", "distinct", "repeated_lines", "top_word", "echoes", "digits", "line_words", "unended", "longest_run")
@@ -139,14 +140,14 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = BINS, rounds: int = ROUNDS, ra
     return model
 
 
-def _featurise(b: pa.RecordBatch) -> np.ndarray:
-    texts = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
+def _featurise(texts: pa.Array) -> np.ndarray:
+    texts = pc.fill_null(texts, "").cast(pa.binary()).to_pylist()
     return np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
 
 
 def _feature_rows(batches):
     for b in batches:
-        x = _featurise(b)
+        x = _featurise(b.column(1))
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, k]) for k in range(x.shape[1])]], ["quality", *FEATURES])
 
 
@@ -158,7 +159,8 @@ def held_out(column: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most `sample_rows` labelled rows that aren't held out, the least by hash of their id.
 
-    Null labels and ids are left out; labels without a document, too.
+    Null labels and ids are left out; labels without a document, too. A repeated id counts as often
+    as its rows and labels match. Without labelled rows the model is a constant.
     """
     sample = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("quality", "text")
@@ -167,18 +169,30 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def scored(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
-    """All columns of docs but clashing ones, with score double and predicted int. Null texts score as empty."""
-    names = [c for c in docs.columns if c not in ("score", "predicted", "_scored_text")]
+    """docs with score double and predicted int, one row per row.
+
+    Null and empty texts score as a text without words. Null and repeated ids are ids like others.
+    Columns of docs named score or predicted are replaced; all others stay whatever their names. A
+    very long text is featurised whole, in one task. An empty table stays empty.
+    """
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [F.col(f"`{c}`") for c in names]
 
     def run(batches):
         for b in batches:
-            s = model.score(_featurise(b))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= cutoff).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
+            s = model.score(_featurise(b.column(b.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= cutoff).astype(np.int32))], [*names, "score", "predicted"])
 
-    own = docs.select(*[F.col(f"`{c}`") for c in names], text_of().alias("_scored_text"))
+    own = docs.select(*kept, F.col("text").alias(unused("text_", names)))
     return own.mapInArrow(run, T.StructType([*[docs.schema[c] for c in names], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects; columns unchanged."""
-    return scored(docs, train(docs, labels)).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """docs without the rows that the classifier rejects; columns unchanged, whatever their names. A filter in place."""
+    model = train(docs, labels)
+
+    def run(batches, at=docs.columns.index("text")):
+        for b in batches:
+            yield b.filter(pa.array(model.score(_featurise(b.column(at))) >= cutoff))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -299,7 +299,9 @@ def matches(regex):
                 out += one(rnd.choice(arg[1]), rnd)
             elif name == "SUBPATTERN":
                 out += one(arg[3], rnd)
-            elif name == "MAX_REPEAT":
+            elif name == "ANY":
+                out += "x"
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
                 out += one(arg[2], rnd) * rnd.randint(arg[0], arg[1])
             else:
                 raise ValueError(name)
@@ -317,6 +319,26 @@ def test_every_license_rule_meets_its_own_matches(spark):
     assert [(label, text, got[k]) for k, (label, text) in enumerate(cases) if label not in got[k]] == []
 
 
+def test_license_suppression_is_that_of_every_pair(spark):
+    """Texts glued from matches of rules, which overlap, nest and repeat, against all pairs of spans."""
+    some = [t for _, _, regex, *_ in licenses.rules() for t in sorted(matches(regex))[:2]]
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(some) if rnd.random() < 0.8 else "and" for _ in range(rnd.randint(1, 12))) for _ in range(40)] + ["under the " * 4 + "mit license " * 5]
+    got = collections.defaultdict(set)
+    for r in licenses.spans(spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")).collect():
+        got[r.doc_id].add((r.start, r.end, r.label, r.priority, r.base))
+    for k, t in enumerate(texts):
+        line, spans = f" {t} ", []
+        for rank, (keyword, _, regex, label, priority, _) in enumerate(licenses.rules()):
+            if f" {keyword} " in line:
+                for m in re.finditer(rf"(?<= )(?:{regex})(?= )", line):
+                    start = line[: m.start()].count(" ") - 1
+                    spans.append((start, start + len(m.group().split()), priority, rank, label))
+        beats = lambda t, s: t[0] <= s[0] and t[1] >= s[1] and (t[2] > s[2] or t[2] == s[2] and (t[1] - t[0] > s[1] - s[0] or t[1] - t[0] == s[1] - s[0] and t[3] < s[3]))
+        want = {(s[0], s[1], s[4], s[2], s[2] == 9) for s in spans if s[2] == 9 or not any(beats(t, s) for t in spans)}
+        assert got[k] == want
+
+
 def test_license_names_without_the_label_as_a_word(spark):
     texts = ["Creative Commons Attribution license 4.0", "creative commons attribution sharealike license", "released under the Expat license", "CC Attribution license"]
     got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
