@@ -115,20 +115,26 @@ def shard_quotas(words: list[int], blocks: int, block: int, most: float, seed: i
     return out
 
 
-def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, size: Column | None = None, **by) -> DataFrame:
+_OWN = ("size", "source_size", "target", "taken")
+
+
+def row_hash(docs: DataFrame, seed: int = SEED) -> Column:
+    """A seeded hash of a row's columns, but for those that mix() replaces and for maps and variants: where the row lies in its shard."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in docs.schema if f.name not in _OWN and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+
+
+def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, size: Column | None = None, hashed: Column | None = None, **by) -> DataFrame:
     """docs with size, source_size, target and taken (words the mix takes of the row, repeats counted).
 
-    `size` is the words of a row, counted in `text` if not given. Null texts have size 0; null
+    `size` is the words of a row, counted in `text` if not given; `hashed` its row_hash. Null texts have size 0; null
     sources are a source of their own, the last, apart from the empty one. Repeated rows count each;
     null ids are ids. Columns of docs named size, source_size, target or taken are replaced, all
     others stay whatever their names. A document may be longer than a shard. Reruns agree: rows lie
     by a hash of their columns. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema if f.name in rest and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
-    own = docs.select(row, "source", (word_count(text_of()) if size is None else size.cast("long")).alias("size"), F.xxhash64(F.lit(seed), *hashed).alias("hash"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in _OWN]).alias("row")
+    own = docs.select(row, "source", (word_count(text_of()) if size is None else size.cast("long")).alias("size"), (row_hash(docs, seed) if hashed is None else hashed).alias("hash"))
     sums = own.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -152,13 +158,13 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, size: Column | No
     return both.withColumn("first", first).select("row.*", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, **by) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = SEED, **by) -> DataFrame:
     """The mix as whole documents, columns unchanged: a row for each pass that takes half of it or more.
 
     A document is taken in blocks, so in part; it stays if half or more is in. Documents without
     words are dropped, as no quota asks for them. Columns may have any names, those of mix() too.
     """
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count(text_of()).alias("words"), "source", row_hash(docs, seed).alias("hash"))
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    got = mix(row, **by).where("size > 0").select("row", times.alias("times")).where("times > 0")
+    got = mix(row, seed, size=F.col("words"), hashed=F.col("hash"), **by).where("size > 0").select("row", times.alias("times")).where("times > 0")
     return got.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
