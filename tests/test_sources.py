@@ -78,7 +78,7 @@ def test_labels(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     turns = spark.createDataFrame([(1, 2, "b", "two"), (1, 1, "a", "one"), (2, 1, "a", "x")], "conv_id int, n int, speaker string, text string")
-    sinks.transcripts(turns, str(tmp_path / "t"))
+    sinks.transcripts(turns, str(tmp_path / "t"), apart=True)
     read = transcripts.load_records(spark, str(tmp_path / "t" / "conv_id=1"))
     assert got(read) == [(1, "a", "one"), (2, "b", "two")]
     sinks.jsonl(turns, str(tmp_path / "j"), "text")
