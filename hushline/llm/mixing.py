@@ -135,20 +135,22 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, size: Column | No
     spark = docs.sparkSession
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in _OWN]).alias("row")
     own = docs.select(row, "source", (word_count(text_of()) if size is None else size.cast("long")).alias("size"), (row_hash(docs, seed) if hashed is None else hashed).alias("hash"))
-    sums = own.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
+    narrow = written(own.select("source", "size", "hash"), "mix-sizes")
+    sums = narrow.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     table = spark.createDataFrame(source_quotas([tuple(r) for r in sums], block, **by), "of string, source_size long, target double, blocks long, shards int")
     small = (lambda df: F.broadcast(df)) if len(sums) <= 50_000 else (lambda df: df)  # rows of the table that are broadcast; beyond, the join shuffles
-    own = own.join(small(table), own.source.eqNullSafe(table.of)).withColumn("shard", F.pmod("hash", "shards").cast("int")).drop("of", "shards")
+    sharded = lambda df: df.join(small(table), df.source.eqNullSafe(table.of)).withColumn("shard", F.pmod("hash", "shards").cast("int")).drop("of", "shards")
 
     def quotas(shards: pd.DataFrame) -> pd.DataFrame:
         shards = shards.sort_values("shard").reset_index(drop=True)
         got = pd.DataFrame(shard_quotas(shards.words.tolist(), int(shards.blocks.iloc[0]), block, by.get("most", MOST), seed), columns=["own", "passes", "further", "factor", "shift"])
         return pd.concat([shards[["of", "at", "words"]], got], axis=1)
 
-    totals = own.groupBy(F.col("source").alias("of"), "shard", "blocks").agg(F.sum("size").alias("words")).withColumn("at", F.col("shard"))
+    totals = sharded(narrow).groupBy(F.col("source").alias("of"), "shard", "blocks").agg(F.sum("size").alias("words")).withColumn("at", F.col("shard"))
     plan = written(totals.groupBy("of").applyInPandas(quotas, "of string, at int, words long, own long, passes long, further long, factor long, shift long"), "mix-quotas")
+    own = sharded(own)
     both = own.join(plan, own.source.eqNullSafe(plan.of) & (own.shard == plan.at))
     first = F.coalesce(F.sum("size").over(Window.partitionBy("source", "shard").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # block b of a shard begins at its word b * words div own; those from the first to the last of a document's words are looked at
