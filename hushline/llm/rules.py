@@ -23,13 +23,15 @@ SPACE, BLANKS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 def repeat_words(words: str = "_words", window: int = WINDOW) -> dict[str, str]:
     """SQL expressions, step by step, for the number of words in windows found twice or more.
 
-    _hashes: a hash per word; _keys: a hash per window; _again: ascending starts of windows whose
+    _hashes: a hash per word; _keys: a hash per window, by doubling; _again: ascending starts of windows whose
     key another window shares. The covered words are the union of [start, start + window).
     """
-    at = ", ".join(f"_hashes[i + {k}]" for k in range(window))
+    if window & (window - 1):
+        raise ValueError("the window is a power of two")
+    steps = ", ".join(str(1 << k) for k in range(window.bit_length() - 1))
     return {
         "_hashes": f"transform({words}, w -> xxhash64(w))",
-        "_keys": f"CASE WHEN size(_hashes) >= {window} THEN transform(sequence(0, size(_hashes) - {window}), i -> xxhash64({at})) ELSE array() END",
+        "_keys": f"CASE WHEN size(_hashes) >= {window} THEN slice(aggregate(array({steps}), _hashes, (h, s) -> zip_with(h, slice(h, s + 1, size(h)), (a, b) -> xxhash64(a, b))), 1, size(_hashes) - {window - 1}) ELSE array() END",
         "_ordered": "CASE WHEN size(array_distinct(_keys)) < size(_keys) THEN sort_array(transform(_keys, (k, i) -> struct(k AS k, i AS i))) ELSE cast(array() AS array<struct<k: bigint, i: int>>) END",
         "_again": "array_sort(transform(filter(_ordered, (x, j) -> coalesce(x.k = get(_ordered, j - 1).k, false) OR coalesce(x.k = get(_ordered, j + 1).k, false)), x -> x.i))",
         "n_repeat_words": f"aggregate(transform(_again, (x, j) -> least({window}, coalesce(get(_again, j + 1) - x, {window}))), 0L, (a, b) -> a + b)",
