@@ -194,3 +194,42 @@ def decoded(step: Callable[[list[int]], np.ndarray], start: list[int], end: int,
     while len(out) < most and (token := int(np.argmax(step([*start, *out])))) != end:
         out.append(token)
     return out
+
+
+def worked(pieces: DataFrame, key: str, stage: str, model: Callable[[], Callable[[np.ndarray], list[np.ndarray]]]) -> DataFrame:
+    """pieces (key, samples) -> key, channel, samples, stage, elapsed_seconds, error: an injected worker, made once for each task.
+
+    A separator gives several channels of a piece, any other worker one. A piece that fails gives
+    one row without samples, with the error.
+    """
+
+    def run(batches):
+        work = model()
+        for b in batches:
+            rows = []
+            for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                begun, error, found = time.perf_counter(), None, [None]
+                try:
+                    found = [np.asarray(c, np.float32) for c in work(np.array(x if x is not None else [], np.float32))]
+                except Exception as e:  # an injected model may fail in any way; the error is part of the result
+                    error = f"{type(e).__name__}: {e}"
+                rows += [(name, k, c, stage, time.perf_counter() - begun, error) for k, c in enumerate(found)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.column(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], FLOATS), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.float64()), pa.array(columns[5], pa.string())], [key, "channel", "samples", "stage", "elapsed_seconds", "error"])
+
+    return pieces.select(key, "samples").mapInArrow(run, f"{key} {pieces.schema[key].dataType.simpleString()}, channel int, samples array<float>, stage string, elapsed_seconds double, error string")
+
+
+def track(parts: DataFrame, key: str) -> DataFrame:
+    """parts (key, start, silence, kept, silence_after, samples) of a layout -> (key, samples): the whole track. A track is one row of one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["start"])
+        out = []
+        for r in rows:
+            x = np.array(r["samples"], np.float32)
+            out += [np.zeros(int(r["silence"]), np.float32), x[len(x) - int(r["kept"]) :], np.zeros(int(r["silence_after"]), np.float32)]
+        return pa.table([pa.array([rows[0][key]], table.schema.field(key).type), pa.array([np.concatenate(out)], FLOATS)], [key, "samples"])
+
+    own = parts.select(key, "start", "silence", "kept", "silence_after", "samples")
+    return own.groupBy(key).applyInArrow(run, f"{key} {parts.schema[key].dataType.simpleString()}, samples array<float>")

@@ -151,8 +151,8 @@ def track_layout(parts: DataFrame, by: list[str], totals: DataFrame) -> DataFram
     """
     order = Window.partitionBy(*by).orderBy("start", "stop")
     cursor = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = parts.join(totals, by).select("*", cursor.alias("_cursor"), F.lead("start").over(order).isNull().alias("_last"))
-    end = F.when(F.col("_last"), F.greatest(F.lit(0), F.col("samples") - F.greatest("stop", "_cursor"))).otherwise(0)
+    own = parts.select(*by, "start", "stop").join(totals.select(*by, F.col("samples").alias("_total")), by).select("*", cursor.alias("_cursor"), F.lead("start").over(order).isNull().alias("_last"))
+    end = F.when(F.col("_last"), F.greatest(F.lit(0), F.col("_total") - F.greatest("stop", "_cursor"))).otherwise(0)
     return own.select(*by, "start", "stop", F.greatest(F.lit(0), F.col("start") - F.col("_cursor")).alias("silence"), F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "_cursor")).alias("kept"), end.alias("silence_after"))
 
 
