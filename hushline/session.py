@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch between the JVM and Python, so that long texts don't make it large; a session's own setting goes before.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def local_session(cpus: int = 8, partitions: int = 8, name: str = "hushline") -> SparkSession:
@@ -22,8 +24,10 @@ def local_session(cpus: int = 8, partitions: int = 8, name: str = "hushline") ->
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Gives the executors this package, once per application, as a zip served by the driver."""
+    """Gives the executors this package, once per application, as a zip served by the driver, and bounds the session's batches."""
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.getConf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
     if app not in _shipped:
         top = Path(__file__).resolve().parent
         buffer = io.BytesIO()
