@@ -152,10 +152,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min
     text is a slab of its own. Other columns are ignored. An empty table gives an empty table.
     """
     index, folder = slabs(docs, "lm", measure=count_words)
-    size, words = index.agg(F.sum("bytes"), F.sum("measure")).first()
+    count, size, words = index.agg(F.count("*"), F.sum("bytes"), F.sum("measure")).first()
     ranges = max(1, math.ceil((size or 0) / RANGE_BYTES))
-    blocks = dealt(index.select("slab", "file")).mapInArrow(_count(order, ranges, folder), _BLOCKS)
-    totals = blocks.groupBy("range").applyInArrow(_add_up, _TOTALS)
+    own = dealt(index.select("slab", "file"), count)
+    totals = dealt(own.mapInArrow(_count(order, ranges, folder), _BLOCKS), ranges, "range").groupBy("range").applyInArrow(_add_up, _TOTALS)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = index.groupBy("slab").cogroup(totals.groupBy("slab")).applyInArrow(_score(order, backoff, min_count, words or 0, folder), f"doc_id {kind}, n_words long, score double")
+    scored = own.groupBy("slab").cogroup(dealt(totals, count).groupBy("slab")).applyInArrow(_score(order, backoff, min_count, words or 0, folder), f"doc_id {kind}, n_words long, score double")
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

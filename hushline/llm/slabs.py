@@ -92,6 +92,6 @@ def slabs(docs: DataFrame, kind: str, each: int = SLAB_BYTES, measure: Callable[
     return index, folder
 
 
-def dealt(index: DataFrame) -> DataFrame:
-    """The index with a task for about each slab."""
-    return index.repartition(max(1, index.count()), F.col("slab"))
+def dealt(rows: DataFrame, count: int, by: str = "slab") -> DataFrame:
+    """rows dealt to `count` tasks by a slab or range, so that tasks grow in number with the data, not in size."""
+    return rows.repartition(max(1, count), F.col(by))

@@ -422,10 +422,11 @@ def without_repeats(docs: DataFrame, texts_too: bool = True) -> DataFrame:
     one task. Other columns are ignored. An empty table gives an empty table.
     """
     index, folder = slabs(docs, "suffixes", side=find_anchors)
-    ranges = max(1, math.ceil((index.agg(F.sum("bytes")).first()[0] or 0) / RANGE_BYTES))
-    own = index.select("slab", "file")
-    verdicts = dealt(own).mapInArrow(_send_anchors(ranges, folder), _BLOCKS).groupBy("range").applyInArrow(_decide, _BLOCKS)
-    runs = own.groupBy("slab").cogroup(verdicts.groupBy("slab")).applyInArrow(_send_runs(ranges, folder), _BLOCKS)
-    splits = runs.groupBy("range").applyInArrow(_merge, _BLOCKS)
+    count, size = index.agg(F.count("*"), F.sum("bytes")).first()
+    ranges = max(1, math.ceil((size or 0) / RANGE_BYTES))
+    own = dealt(index.select("slab", "file"), count)
+    verdicts = dealt(own.mapInArrow(_send_anchors(ranges, folder), _BLOCKS), ranges, "range").groupBy("range").applyInArrow(_decide, _BLOCKS)
+    runs = own.groupBy("slab").cogroup(dealt(verdicts, count).groupBy("slab")).applyInArrow(_send_runs(ranges, folder), _BLOCKS)
+    splits = dealt(runs, ranges, "range").groupBy("range").applyInArrow(_merge, _BLOCKS)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts_too
-    return own.groupBy("slab").cogroup(verdicts.unionByName(splits).groupBy("slab")).applyInArrow(_cut(ranges, folder, texts_too), schema)
+    return own.groupBy("slab").cogroup(dealt(verdicts.unionByName(splits), count).groupBy("slab")).applyInArrow(_cut(ranges, folder, texts_too), schema)
