@@ -12,6 +12,8 @@ Base phrases outrank all and are never suppressed.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -212,8 +214,10 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
 
 def rule_table(spark: SparkSession) -> DataFrame:
     """Some hundreds of rows, fixed by FAMILIES and FORMS whatever the input."""
-    rows = [(k, i, name, f"(?<= )(?:{rx})(?= )", label, p, w) for i, (k, name, rx, label, p, w) in enumerate(rules())]
-    return spark.createDataFrame(rows, "keyword string, rank int, rule string, regex string, label string, priority int, weight double")
+    names = ("keyword", "rank", "rule", "regex", "label", "priority", "weight")
+    rows = [dict(zip(names, (k, i, name, f"(?<= )(?:{rx})(?= )", label, p, w), strict=True)) for i, (k, name, rx, label, p, w) in enumerate(rules())]
+    shape = "array<struct<keyword:string,rank:int,rule:string,regex:string,label:string,priority:int,weight:double>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), shape)).alias("r")).select("r.*")
 
 
 def spans(docs: DataFrame) -> DataFrame:
