@@ -17,7 +17,7 @@ import heapq
 import math
 import random
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,17 +139,19 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, size: Column | No
     sums = narrow.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    table = spark.createDataFrame(source_quotas([tuple(r) for r in sums], block, **by), "of string, source_size long, target double, blocks long, shards int")
+    quotas_of = list(zip(*source_quotas([tuple(r) for r in sums], block, **by), strict=True)) or [()] * 5
+    kinds = {"of": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "blocks": pa.int64(), "shards": pa.int32()}
+    table = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(quotas_of, kinds.values(), strict=True)], list(kinds)))
     small = (lambda df: F.broadcast(df)) if len(sums) <= 50_000 else (lambda df: df)  # rows of the table that are broadcast; beyond, the join shuffles
     sharded = lambda df: df.join(small(table), df.source.eqNullSafe(table.of)).withColumn("shard", F.pmod("hash", "shards").cast("int")).drop("of", "shards")
 
-    def quotas(shards: pd.DataFrame) -> pd.DataFrame:
-        shards = shards.sort_values("shard").reset_index(drop=True)
-        got = pd.DataFrame(shard_quotas(shards.words.tolist(), int(shards.blocks.iloc[0]), block, by.get("most", MOST), seed), columns=["own", "passes", "further", "factor", "shift"])
-        return pd.concat([shards[["of", "at", "words"]], got], axis=1)
+    def quotas(shards: pa.Table) -> pa.Table:
+        shards = shards.sort_by("at")
+        got = shard_quotas(shards.column("words").to_pylist(), shards.column("blocks")[0].as_py(), block, by.get("most", MOST), seed)
+        return pa.table([shards.column(c) for c in ("of", "at", "words")] + [pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["of", "at", "words", "own", "passes", "further", "factor", "shift"])
 
-    totals = sharded(narrow).groupBy(F.col("source").alias("of"), "shard", "blocks").agg(F.sum("size").alias("words")).withColumn("at", F.col("shard"))
-    plan = written(totals.groupBy("of").applyInPandas(quotas, "of string, at int, words long, own long, passes long, further long, factor long, shift long"), "mix-quotas")
+    totals = sharded(narrow).groupBy(F.col("source").alias("of"), F.col("shard").alias("at"), "blocks").agg(F.sum("size").alias("words"))
+    plan = written(totals.groupBy("of").applyInArrow(quotas, "of string, at int, words long, own long, passes long, further long, factor long, shift long"), "mix-quotas")
     own = sharded(own)
     both = own.join(plan, own.source.eqNullSafe(plan.of) & (own.shard == plan.at))
     first = F.coalesce(F.sum("size").over(Window.partitionBy("source", "shard").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

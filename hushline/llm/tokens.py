@@ -21,6 +21,8 @@ import math
 import os
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql.window import Window
 from .common import fresh_path, text_of, written
 from .slabs import by_bytes, place
 
-END, SEQUENCE, BATCH, PART_BYTES, FILE_IDS, SLICE_BYTES = 2, 1024, 256, 12 << 20, 4 << 20, 6 << 20
+END, SEQUENCE, BATCH, PART_BYTES, FILE_IDS, SLICE_BYTES = 2, 1024, 256, 12 << 20, 4 << 20, 3 << 20
 #: Letters that stay letters when composed and lower-cased (some others end in a mark then, which joins a stop).
 LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3C9}\x{400}-\x{481}\x{4E00}-\x{9FFF}"
 
@@ -60,15 +62,28 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer, self.keep, self.plain = Tokenizer.from_file(path), keep, None
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         suffix, steps = spec["model"].get("end_of_word_suffix"), [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        if suffix and steps == ["NFC", "Replace", "Lowercase"]:
-            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.plain = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"]
+        if self.plain:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[k for w, k in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
+        del spec
         self._forget()
 
+    @contextmanager
+    def _by_words_alone(self) -> Iterator[None]:
+        """The tokenizer without its normaliser, splitting at white space only. It is one object, as a second would double a worker's memory."""
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        parts = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = None, WhitespaceSplit()
+        try:
+            yield
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = parts
+
     def _forget(self) -> None:
         self.stems, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
         self._learn(pa.array([".", ","], pa.large_string()))
@@ -82,7 +97,8 @@ class Encoder:
 
     def _letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for parts of a-z alone."""
-        ids = np.array(self.plain.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.dtype)
+        with self._by_words_alone():
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.dtype)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(parts) else self._full(parts)
 
@@ -91,8 +107,8 @@ class Encoder:
         simple = pc.match_substring_regex(new, "^[a-z]+$") if self.plain else pa.array(np.zeros(len(new), bool))
         stems, flat, sizes = [self.stems], [self.flat], [self.sizes]
         for some, encode in ((new.filter(simple), self._letters), (new.filter(pc.invert(simple)), self._full)):
-            for k in range(0, len(some), 2000):
-                ids, n = encode(some[k : k + 2000].to_pylist())
+            for k in range(0, len(some), 10_000):
+                ids, n = encode(some[k : k + 10_000].to_pylist())
                 flat.append(ids)
                 sizes.append(n)
             stems.append(some)
