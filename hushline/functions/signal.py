@@ -74,12 +74,13 @@ def faded(audio: np.ndarray, rate: int, ms: float = 10) -> np.ndarray:
     return audio
 
 
-def speech_only(audio: np.ndarray, rate: int, least: float = 1e-4) -> np.ndarray:
+def loud_parts(audio: np.ndarray, rate: int, least: float = 1e-4) -> np.ndarray:
     """The blocks of a tenth of a second, the last one shorter, whose root mean square is `least` or more, end to end."""
-    audio, size = np.asarray(audio, np.float32), max(1, round(0.1 * rate))
-    blocks = [audio[k : k + size] for k in range(0, len(audio), size)]
-    loud = [b for b in blocks if np.sqrt(np.mean(b * b)) >= least]
-    return np.concatenate(loud) if loud else np.zeros(0, np.float32)
+    audio = np.asarray(audio, np.float32)
+    starts = np.arange(0, len(audio), max(1, round(0.1 * rate)))
+    sizes = np.diff(np.append(starts, len(audio)))
+    power = np.add.reduceat(audio.astype(np.float64) ** 2, starts) / sizes if len(audio) else np.zeros(0)
+    return audio[np.repeat(np.sqrt(power) >= least, sizes)]
 
 
 def intervals(audio: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# How lines, labels and edits are written, and how far an edit may grow a line.
 NUMBERED, LABELLED, EDIT = r"(?s)^\s*([0-9]+)\s*:\s*(.*)$", r"(?s)^\s*([A-Za-z_][\w .-]*?)\s*:\s*(.*)$", r"(?i)^edit\s+([0-9]+)\s*(.*)$"
 SPEAKER_PREFIX, MOST_GROWTH = r"(?i)^speaker(?:[ _.-]|$)", 2.5
 

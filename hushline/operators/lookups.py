@@ -71,8 +71,11 @@ def first_wins(rows: DataFrame, by: list[str], order: str, value: str) -> DataFr
 
 
 def new_records(records: DataFrame, by: list[str], guess: str, order: str, prior: DataFrame | None = None) -> DataFrame:
-    """records whose guess, in lower case with single spaces, is new in its group: the first of each, and none that `prior` has."""
-    key = F.lower(F.trim(F.regexp_replace(guess, r"\s+", " ")))
+    """records whose guess, in lower case with single spaces, is new in its group: the first of each, and none that `prior` has.
+
+    Guesses are compared by their SHA-256, so that long ones aren't dealt out.
+    """
+    key = F.sha2(F.lower(F.trim(F.regexp_replace(guess, r"\s+", " "))), 256)
     own = records.withColumn("_key", key)
     if prior is not None:
         own = own.join(prior.select(*by, key.alias("_key")), [*by, "_key"], "left_anti")

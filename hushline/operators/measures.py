@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Fixed value: tokens that a line has on average.
 TOKENS_PER_LINE = 21.9625
 
 

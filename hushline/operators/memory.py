@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-CANDIDATES, TOP, THRESHOLD, BLOCK, PART = 20, 8, 0.774, 2000, 20_000
+# Candidates of a query, how many of them are kept, and the floor of their scores.
+CANDIDATES, TOP, THRESHOLD = 20, 8, 0.774
+#: Queries and remembered vectors that meet in one task.
+BLOCK, PART = 2000, 20_000
 
 
 def check(candidates: int, top: int, context: int = 0) -> None:

@@ -36,6 +36,7 @@ def test_protect_and_release(spark, pair, tmp_path):
     released = keys.release(spark, manifest, {"t1", "t2"}, pair[1], LABEL, "form 7")
     assert [t["track_id"] for t in released["approved_tracks"]] == ["t1", "t2"] and released["consent_reference"] == "form 7"
     assert {r.track_id: bytes(r.plain) for r in keys.open_released(sealed, released).collect()} == {"t1": b"one", "t2": b""}
+    assert {r.track_id: bytes(r.plain) for r in keys.open_fingerprints(sealed, manifest, pair[1], LABEL).collect()} == {"t1": b"one", "t2": b"", "t3": b"three"}
     with pytest.raises(ValueError, match="t9"):
         keys.release(spark, manifest, {"t1", "t9"}, pair[1], LABEL, "form 7")
     changed = sealed.withColumn("aad", F.lit("w"))

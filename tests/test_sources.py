@@ -88,3 +88,28 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "m")).where(F.col("value") != "conversation_id,split").collect()[0][0] == "c2,test"
     paths = spark.createDataFrame([("/a/manifest.json",), ("/a/raw.txt",)], "path string")
     assert [r[0] for r in sinks.allowed(paths, {"manifest.json"}).collect()] == ["/a/manifest.json"]
+
+
+def test_bundle_and_logs(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 2, "b", "two"), (1, 1, "a", "one"), (2, 1, "a", "x")], "conv_id int, n int, speaker string, text string")
+    after = turns.withColumn("text", F.when(F.col("n") == 1, F.col("text")))
+    times = spark.createDataFrame([(1, 0.5), (1, 0.1)], "conv_id int, start_seconds double")
+    sinks.bundle(after, turns, times, times, str(tmp_path / "b"))
+    read = {n: spark.read.json(str(tmp_path / "b" / n)) for n in ("raw_transcript", "anonymised_transcript", "trace")}
+    assert {r.conv_id: r.transcript for r in read["raw_transcript"].collect()} == {1: "1: a: one\n2: b: two", 2: "1: a: x"}
+    assert {r.conv_id: r.transcript for r in read["anonymised_transcript"].collect()} == {1: "1: a: one", 2: "1: a: x"}
+    assert [r.start_seconds for r in read["trace"].collect()] == [0.1, 0.5]
+    power = spark.createDataFrame([(1.0, 2.0, 3.0, 0.5, 0.1, {"R": 2.5})], "unix_seconds double, monotonic_seconds double, aggregate_pmic_w double, vdd_core_w double, sample_duration_seconds double, rail_watts map<string,double>")
+    sinks.power_log(power, str(tmp_path / "p"))
+    assert spark.read.csv(str(tmp_path / "p"), header=True).first().rail_watts == '{"R":2.5}'
+
+
+def test_states_rows_and_routes(spark, tmp_path):
+    states = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": 1',), ("[1]",), (None,)], "t string")
+    assert [r[0] for r in states.select(sinks.state_of(F.col("t"))).collect()] == [{"a": "1", "b": "x"}, {}, {}, {}]
+    fields = spark.createDataFrame([("a", 'say "b", c', None)], "x string, y string, z string")
+    assert fields.select(sinks.csv_row([F.col(c) for c in "xyz"])).first()[0] == 'a,"say ""b"", c",\n'
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    assert [(r.bytes, r.sha256) for r in sinks.artifacts_of(spark, str(tmp_path / "*.bin")).collect()] == [(3, hashlib.sha256(b"abc").hexdigest())]
+    sent = sinks.delivered(spark.range(4), {"even": F.col("id") % 2 == 0, "all": F.lit(True)})
+    assert sorted((r.sink, r.id) for r in sent.collect()) == [("all", 0), ("all", 1), ("all", 2), ("all", 3), ("even", 0), ("even", 2)]
