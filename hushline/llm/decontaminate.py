@@ -279,7 +279,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
     """docs without the rows that hold an item; columns unchanged. A filter in place: nothing is shuffled.
 
     Null and empty texts hold nothing and stay, as do rows with null ids; repeated rows stay or go
-    alike. Columns may have any names. No items: all rows. An empty table stays empty.
+    alike. A very long text is worked through whole, in one task. Columns may have any names. No
+    items: all rows. An empty table stays empty.
     """
     folder, names = build_blocks(items, similarity, block_items)
 

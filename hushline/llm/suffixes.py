@@ -39,7 +39,6 @@ LENGTH, GRAM, CHUNK_BYTES, RANGE_BYTES = 100, 36, 1 << 20, 24 << 20
 LEFT, PAD = LENGTH - GRAM, 164
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(5).integers(1, 1 << 63, 257, np.uint64) | np.uint64(1)
-_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _power(n: int) -> np.uint64:
