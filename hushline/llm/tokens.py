@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from .common import fresh_path, text_of, written
 from .slabs import by_bytes, place
 
-END, SEQUENCE, BATCH, PART_BYTES, FILE_IDS, SLICE_BYTES = 2, 1024, 256, 12 << 20, 4 << 20, 3 << 20
+END, SEQUENCE, BATCH, PART_BYTES, FILE_IDS, SLICE_BYTES, GATHER_WORDS = 2, 1024, 256, 12 << 20, 4 << 20, 8 << 20, 200_000
 #: Letters that stay letters when composed and lower-cased (some others end in a mark then, which joins a stop).
 LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3C9}\x{400}-\x{481}\x{4E00}-\x{9FFF}"
 
@@ -136,18 +136,24 @@ class Encoder:
         return out, n
 
     def texts(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, each with the end id, and the counts."""
+        """Ids of all texts end to end, each with the end id, and the counts. Pieces are looked up once, ids gathered some texts at a time."""
         texts = texts.cast(pa.large_string())
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         at = words.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(words.flatten())
         flat, sizes = self.pieces(coded.dictionary)
         # the end id is one more piece, put after each text's last word
-        which = np.insert(coded.indices.to_numpy(), at[1:] - at[0], len(sizes))
-        flat, sizes = np.append(flat, np.array([end], self.dtype)), np.append(sizes, 1)
-        n = sizes[which]
-        upto = np.concatenate(([0], np.cumsum(n)))[at - at[0] + np.arange(len(at))]
-        return _gather(flat, (np.cumsum(sizes) - sizes)[which], n), np.diff(upto)
+        flat, sizes, words = np.append(flat, np.array([end], self.dtype)), np.append(sizes, 1), coded.indices.to_numpy()
+        first, at, parts, counts, k = np.cumsum(sizes) - sizes, at - at[0], [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], 0
+        while k < len(at) - 1:
+            stop = max(k + 1, int(np.searchsorted(at, at[k] + GATHER_WORDS, side="right")) - 1)
+            own = at[k : stop + 1] - at[k]
+            which = np.insert(words[at[k] : at[stop]], own[1:], len(sizes) - 1)
+            n = sizes[which]
+            parts.append(_gather(flat, first[which], n))
+            counts.append(np.diff(np.concatenate(([0], np.cumsum(n)))[own + np.arange(len(own))]))
+            k = stop
+        return np.concatenate(parts), np.concatenate(counts)
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
