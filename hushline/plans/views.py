@@ -263,7 +263,7 @@ _TOKENS = "(SELECT user_id, event_id, event_id / 10.0 AS ts, CASE event_type WHE
 
 
 @view(f"""WITH k AS (SELECT *, trim(piece) AS clean, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM {_TOKENS} WHERE piece <> '<b>'),
-w AS (SELECT *, sum(CASE WHEN i = 1 OR piece = ' cl' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS word_no, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM k),
+w AS (SELECT *, (sum(CASE WHEN i = 1 OR piece = ' cl' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT AS word_no, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM k),
 g AS (SELECT user_id, word_no, string_agg(clean, '' ORDER BY event_id) AS word, min(ts) AS a, max(ts) AS z FROM w GROUP BY ALL)
 SELECT g.user_id, word_no, word, round(greatest(5, a), 3)::DOUBLE AS start, round(greatest(greatest(5, a), least(900, coalesce(lead(a) OVER (PARTITION BY g.user_id ORDER BY word_no), z + least(1.12, greatest(0.02, coalesce(s.gap, 0.32)))))), 3)::DOUBLE AS stop FROM g JOIN (SELECT user_id, min(gap) AS gap FROM w GROUP BY user_id) s ON s.user_id = g.user_id""")
 def subword_words(t):
@@ -395,21 +395,21 @@ def unknown_keys(t):
 _FIXED = f"(SELECT *, coalesce(start - lag(stop) OVER w > 40 OR lag(stop) OVER w - start > 40, false)::INT AS far FROM {CHUNKS} WINDOW w AS (PARTITION BY user_id ORDER BY start))"
 
 
-@view(f"""WITH s AS (SELECT *, sum(far) OVER (PARTITION BY user_id ORDER BY start) AS session FROM {_FIXED}), g AS (SELECT user_id, session, min(start) AS a, max(stop) AS z FROM s GROUP BY ALL),
+@view(f"""WITH s AS (SELECT *, (sum(far) OVER (PARTITION BY user_id ORDER BY start))::BIGINT AS session FROM {_FIXED}), g AS (SELECT user_id, session, min(start) AS a, max(stop) AS z FROM s GROUP BY ALL),
 p AS (SELECT *, unnest(range(0, greatest(1, ceil((z - a) / 100)::BIGINT))) AS piece FROM g)
 SELECT user_id, session, piece, a + 100.0 * piece AS start, least(a + 100.0 * (piece + 1), z) AS stop, CASE WHEN a + 100.0 * (piece + 1) <= z THEN 'full' WHEN session = max(session) OVER (PARTITION BY user_id) THEN 'end' ELSE 'gap' END AS boundary FROM p""")
 def gap_pieces(t):
     return lookups.gap_pieces(chunks(t), USER, 40, 100)
 
 
-@view(f"""WITH s AS (SELECT *, sum(far) OVER (PARTITION BY user_id ORDER BY start) AS session FROM {_FIXED.replace('> 40', '> 60')}), g AS (SELECT user_id, session, min(start) AS a, max(stop) AS z FROM s GROUP BY ALL),
+@view(f"""WITH s AS (SELECT *, (sum(far) OVER (PARTITION BY user_id ORDER BY start))::BIGINT AS session FROM {_FIXED.replace('> 40', '> 60')}), g AS (SELECT user_id, session, min(start) AS a, max(stop) AS z FROM s GROUP BY ALL),
 p AS (SELECT *, unnest(range(0, greatest(1, ceil((z - a) / 250)::BIGINT))) AS piece FROM g), b AS (SELECT *, a + 250.0 * (piece + 1) <= z AS full_, session = max(session) OVER (PARTITION BY user_id) AS final FROM p)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY a + 250.0 * piece) AS utterance, a + 250.0 * piece AS start, round(least(a + 250.0 * (piece + 1), z) + CASE WHEN NOT full_ AND NOT final THEN 60 ELSE 0 END, 3) AS stop, CASE WHEN full_ THEN 'longest' WHEN final THEN 'end' ELSE 'silence' END AS boundary FROM b""")
 def silence_endpoints(t):
     return lookups.endpoints(chunks(t), USER, 60, 250)
 
 
-@view("SELECT user_id, session, count(*) AS n FROM (SELECT *, sum(far) OVER (PARTITION BY user_id ORDER BY event_id) AS session FROM (SELECT *, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) > 200, false)::INT AS far FROM events)) GROUP BY ALL")
+@view("SELECT user_id, session, count(*) AS n FROM (SELECT *, (sum(far) OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT AS session FROM (SELECT *, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) > 200, false)::INT AS far FROM events)) GROUP BY ALL")
 def gap_segments(t):
     return lookups.sessions(t("events"), USER, "event_id", 200).groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
