@@ -728,7 +728,7 @@ _GUESSES = """(SELECT conv_id * 100 + turn AS turn_id, turn, 'speaker_' || subst
 
 
 @view(f"""SELECT turn_id, a AS at, speaker, CASE WHEN turn % 4 = 3 THEN 'mood' ELSE 'identity' END AS attribute, trim(guess) AS guess, CASE WHEN trim(guess) = '' THEN 'guess missing' WHEN turn % 4 = 3 THEN 'unknown attribute' WHEN length(trim(guess)) > 1000 THEN 'guess too long'
-WHEN turn % 8 = 1 THEN 'no inference' WHEN turn % 8 = 2 THEN 'generic guess' WHEN a = 1 AND turn % 8 = 4 THEN 'line references' WHEN a = 1 THEN 'duplicate' END AS reason FROM {_GUESSES}, (VALUES (0), (1)) v(a)""")
+WHEN turn % 8 = 1 THEN 'no inference' WHEN turn % 8 = 2 THEN 'generic guess' WHEN a = 1 AND turn % 8 = 4 THEN 'line references' WHEN a = 1 THEN 'duplicate' END AS reason FROM {_GUESSES}, (VALUES (0), (1)) v(a) WHERE guess IS NOT NULL""")
 def payload_validation(t):
     """Whole turns as guesses in payloads in prose, with a citation before them, one cut off or with a comma too many; void, generic and blank guesses, and line references as text."""
     k = F.col("turn") % 8
@@ -737,7 +737,7 @@ def payload_validation(t):
     record = F.concat(F.lit('{"speaker": "Speaker '), F.substring("role", 1, 1), F.lit('", "attribute": "'), F.when(F.col("turn") % 4 == 3, "mood").otherwise("identity"), F.lit('", '), F.expr("substring({0}, 2, length({0}) - 2)".format("_held")))
     own = t("conversations").withColumn("_held", held).withColumn("_record", record)
     text = F.concat(F.lit("As line [1] says: ["), "_record", F.lit("}, "), "_record", F.when(k == 4, ', "lines": ["1"]').otherwise(F.lit("")), F.when(F.col("turn") % 2 == 0, F.lit("},]")).otherwise(F.lit("")))
-    found = payloads.recovered(own.select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), text.alias("payload")), "turn_id", "payload")
+    found = payloads.recovered(own.select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.when(guess.isNotNull(), text).alias("payload")), "turn_id", "payload")
     return payloads.validated(found, "turn_id").drop("reasoning")
 
 

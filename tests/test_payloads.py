@@ -61,11 +61,12 @@ def test_single_quotes_and_bare_words():
 
 def test_payloads_hold_whole_turns(spark, tmp_path):
     texts = ['He said "no" \\ 7 TIMES, ' + "x" * 50, "line\n\ttab \x01 end é \U0001d4b3 [1] {a: 'b'}", "word " * 220, "fine", "a" * 1000, "b" * 1001, "", "]}"]
-    df = spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)] + [(2, 0, "user", None)], "conv_id long, turn int, role string, text string")
+    turns = [(0, 3, 4, 6, 7, 8, 11, 12)[k] for k in range(len(texts))]  # the others' guesses are fixed
+    df = spark.createDataFrame([(1, turns[k], "user", t) for k, t in enumerate(texts)] + [(2, 0, "user", None)], "conv_id long, turn int, role string, text string")
     df.write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {(r.turn_id, r.at): r for r in catalog.payload_validation(spark, str(tmp_path)).collect()}
-    assert {k for k, _ in got} == {100 + k for k in range(len(texts))}
-    for k, t in enumerate(texts):
+    got = {(r.turn_id, r.at): r for r in catalog.queries()["payload_validation"](spark, str(tmp_path)).collect()}
+    assert {k for k, _ in got} == {100 + k for k in turns}
+    for k, t in zip(turns, texts, strict=True):
         guess = t.strip(" ")
         first = "unknown attribute" if k % 4 == 3 else "guess too long" if len(guess) > 1000 else None
         assert (got[100 + k, 0].guess, got[100 + k, 0].reason) == (guess, "guess missing" if not guess else first)
