@@ -122,7 +122,7 @@ def endpoints(speech: DataFrame, by: list[str], hangover: float = 1.2, longest:
     named = gap_pieces(speech, by, hangover, longest)
     kind = F.when(F.col("boundary") == "full", "longest").when(F.col("boundary") == "gap", "silence").otherwise("end")
     stop = F.col("stop") + F.when(F.col("boundary") == "gap", hangover).otherwise(0.0)
-    return named.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy("start")).alias("utterance"), "start", F.bround(stop, 3).alias("stop"), kind.alias("boundary"))
+    return named.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy("session", "piece")).alias("utterance"), "start", F.bround(stop, 3).alias("stop"), kind.alias("boundary"))
 
 
 def cpu_set(spec: Column) -> Column:

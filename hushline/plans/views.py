@@ -404,7 +404,7 @@ def gap_pieces(t):
 
 @view(f"""WITH s AS (SELECT *, (sum(far) OVER (PARTITION BY user_id ORDER BY start))::BIGINT AS session FROM {_FIXED.replace('> 40', '> 60')}), g AS (SELECT user_id, session, min(start) AS a, max(stop) AS z FROM s GROUP BY ALL),
 p AS (SELECT *, unnest(range(0, greatest(1, ceil((z - a) / 250)::BIGINT))) AS piece FROM g), b AS (SELECT *, a + 250.0 * (piece + 1) <= z AS full_, session = max(session) OVER (PARTITION BY user_id) AS final FROM p)
-SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY a + 250.0 * piece) AS utterance, a + 250.0 * piece AS start, round(least(a + 250.0 * (piece + 1), z) + CASE WHEN NOT full_ AND NOT final THEN 60 ELSE 0 END, 3) AS stop, CASE WHEN full_ THEN 'longest' WHEN final THEN 'end' ELSE 'silence' END AS boundary FROM b""")
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY session, piece) AS utterance, a + 250.0 * piece AS start, round(least(a + 250.0 * (piece + 1), z) + CASE WHEN NOT full_ AND NOT final THEN 60 ELSE 0 END, 3) AS stop, CASE WHEN full_ THEN 'longest' WHEN final THEN 'end' ELSE 'silence' END AS boundary FROM b""")
 def silence_endpoints(t):
     return lookups.endpoints(chunks(t), USER, 60, 250)
 
