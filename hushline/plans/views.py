@@ -288,10 +288,9 @@ _SCORED = """(SELECT q.vec_id AS query, e.vec_id AS item, round(list_sum(list_tr
 
 
 def _found(t: Tables) -> DataFrame:
-    """Every twentieth vector against all; a vector itself is one of its nine best and is left out."""
+    """Every twentieth vector against all others."""
     e = t("embeddings")
-    found = memory.retrieved(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), 20, 9, 0.3)
-    return found.where("query <> item")
+    return memory.retrieved(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), 20, 8, 0.3, others=True)
 
 
 @view(f"SELECT query, item, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM {_SCORED}) WHERE rank <= 8 AND score >= 0.3")

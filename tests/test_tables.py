@@ -3,12 +3,16 @@
 import itertools
 import json
 import random
+import tracemalloc
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hushline.operators import activity, lines, lookups, measures, memory
+from hushline.plans import views
 from hushline.streaming.control import desired
 
 RND = random.Random(12)
@@ -198,6 +202,60 @@ def test_retrieval(spark):
         memory.check(0, 1)
 
 
+def test_retrieval_over_many_partitions(spark):
+    """Blocks meet all parts however the groups are dealt to tasks: both sides' keys are of one type."""
+    v = np.random.default_rng(5).standard_normal((300, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "item long, v array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = memory.scores(table.where("item % 4 = 3").withColumnRenamed("item", "query"), table, 5, 0.1, block=10).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    s = np.round(v @ v.T, 6)
+    assert sorted((r["query"], r.item, r["rank"]) for r in got) == [(q, i, k + 1) for q in range(3, 300, 4) for k, i in sorted(enumerate(sorted(range(300), key=lambda i: (-s[q, i], i))[:5]), key=lambda x: x[1]) if s[q, i] >= 0.1]
+
+
+#: Ids and vectors: ten copies before a query and ten after; halves at the sixth place; missing vectors and numbers, short vectors.
+COPIES = [(k, [0.5, 0.5, 0.5, 0.5]) for k in (*range(1, 11), 20, *range(50, 60))] + [(k, [0.5, -0.5, 0.5, -0.5]) for k in (11, 40)]
+HALVES = [(40, [0.125, 0.5, 0.5, 0.6875]), *((k, [0.0625, 0.5, 0.25, k / 128]) for k in range(57, 65))]
+GAPS = [(0, [0.5, 0.5, 0.5, 0.5]), (100, None), (101, None), (120, [0.25, None, 0.75, 0.5]), (140, [1.0, 0.5]), (141, [None, 0.75, 0.5])]
+
+
+def _by_sql(table, name, tmp_path):
+    table.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    found = con.sql(views.SQL[name])
+    return found.columns, sorted(found.fetchall())
+
+
+@pytest.mark.parametrize("vectors", [COPIES, HALVES, GAPS])
+def test_retrieval_of_copies_and_odd_vectors(spark, tmp_path, vectors):
+    """Eight at most for each query, though the vector itself isn't always among its nine best."""
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    columns, want = _by_sql(table, "retrieval_top_k", tmp_path)
+    got = views.QUERIES["retrieval_top_k"](lambda _: table).select(columns).collect()
+    assert want and sorted(map(tuple, got)) == want
+
+
+def test_retrieval_holds_a_tile_at_a_time():
+    """20,000 vectors against 2,000 queries, half of them copies: 320 MB of scores, of which a task holds a few tiles and sends eight each."""
+    v = np.random.default_rng(6).standard_normal((20_000, 16))
+    v[::2] = v[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 16).cast(pa.list_(pa.float64()))
+    own, asked = pa.table({"item": np.arange(20_000)[::-1], "v": lists}), pa.table({"query": np.arange(2000), "v": lists[:2000]})
+    tracemalloc.start()
+    try:
+        got = memory.met(asked, own, 16, 8, -1.0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.num_rows == 16_000 and peak < 100e6
+    assert got.slice(0, 8).column("item").to_pylist() == list(range(1, 17, 2))
+
+
 def test_profiles_and_first_seen(spark):
     rows = spark.createDataFrame([("c", 2, "é"), ("c", 1, "x")], "conv string, seq int, guess string")
     assert json.loads(memory.profile(rows, ["conv"], "seq", ["guess"]).first().profile) == [{"guess": "x"}, {"guess": "é"}]
