@@ -301,7 +301,7 @@ def retrieval_top_k(t):
 @view(f"""SELECT win, item, score, queries, row_number() OVER (PARTITION BY win ORDER BY score, item) AS place FROM (SELECT query // 100 AS win, item, max(score) AS score, count(*) AS queries FROM
 (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM {_SCORED}) WHERE rank <= 8 AND score >= 0.3 GROUP BY ALL)""")
 def retrieval_merge(t):
-    return memory.merged(_found(t).withColumn("win", F.floor(F.col("query") / 100)), ["win"])
+    return memory.merged(_found(t).withColumn("win", F.expr("query div 100")), ["win"])
 
 
 @view(f"SELECT conv_id, n % 3 AS n, (SELECT text FROM {TURNS} x WHERE x.conv_id = t.conv_id AND x.n % 3 = t.n % 3 ORDER BY x.n LIMIT 1) AS text FROM {TURNS} t GROUP BY ALL")

@@ -239,6 +239,15 @@ def test_retrieval_of_copies_and_odd_vectors(spark, tmp_path, vectors):
     assert want and sorted(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("vectors", [COPIES, HALVES, GAPS, [(k - 80, v) for k, v in COPIES], [(k + 2**62 + 16, v) for k, v in COPIES]])
+def test_merge_of_copies_and_odd_vectors(spark, tmp_path, vectors):
+    """Windows of a hundred ids are told by whole numbers, for ids below 0 and beyond 2^53 too."""
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    columns, want = _by_sql(table, "retrieval_merge", tmp_path)
+    got = views.QUERIES["retrieval_merge"](lambda _: table).select(columns).collect()
+    assert want and sorted(map(tuple, got)) == want
+
+
 def test_retrieval_holds_a_tile_at_a_time():
     """20,000 vectors against 2,000 queries, half of them copies: 320 MB of scores, of which a task holds a few tiles and sends eight each."""
     v = np.random.default_rng(6).standard_normal((20_000, 16))
